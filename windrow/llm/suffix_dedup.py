@@ -40,7 +40,7 @@ SAMPLED = LENGTH - PERIOD + 1
 #: Bytes of the names by which runs of suffixes are dealt.
 LEAST = 20
 #: Bytes of documents that a task treats together, and of text on which it hashes at once.
-BLOCK, STEP = 24 << 20, 2 << 20
+BLOCK, STEP = 12 << 20, 2 << 20
 #: A null id is neither smaller nor larger than another.
 NULL_ID = -(1 << 63)
 
@@ -229,7 +229,7 @@ def _opened(left: pa.Table, right: pa.Table, what: str) -> Block | None:
     return Block.unpack(*(left.column(c)[0].as_py() for c in ("ids", "sizes", "texts")))
 
 
-def _second_pass(buckets: int):
+def _second_pass(buckets: int, shares: int):
     """Runs of text whose L-byte prefixes may repeat, dealt by their least name; what the block itself settles."""
     names, types = ["part", "block", "print", "kind", "a", "b"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
@@ -303,11 +303,11 @@ def _second_pass(buckets: int):
             later[order] = ids[order] > smallest
             settled = np.flatnonzero(later)
             if len(settled):
-                rows.append((-1 - number % buckets, number, stamp, 0, np.stack([start[settled], length[settled]]).astype(np.int64).tobytes(), b""))
+                rows.append((-1 - number % shares, number, stamp, 0, np.stack([start[settled], length[settled]]).astype(np.int64).tobytes(), b""))
             ask = np.flatnonzero(~later)
-            to = (least[ask] >> np.uint64(20)).astype(np.int64) % buckets
+            to = (least[ask] >> np.uint64(20)).astype(np.int64) % shares
             ask, to = ask[np.argsort(to, kind="stable")], np.sort(to, kind="stable")
-            edges = np.searchsorted(to, np.arange(buckets + 1))
+            edges = np.searchsorted(to, np.arange(shares + 1))
             pack = zstandard.ZstdCompressor(level=3)
             for i in np.flatnonzero(np.diff(edges)).tolist():
                 own = ask[edges[i] : edges[i + 1]]
@@ -320,7 +320,7 @@ def _second_pass(buckets: int):
                 rows.append((i, number, stamp, 1, np.array([len(own), len(blob), len(names_of)], np.int64).tobytes() + names_of.tobytes() + blob, pack.compress(text)))
         if copy.any():
             d = np.flatnonzero(copy & (block.size >= LENGTH))
-            rows.append((-1 - number % buckets, number, stamp, 0, np.stack([block.start[d], block.size[d] - LENGTH + 1]).astype(np.int64).tobytes(), b""))
+            rows.append((-1 - number % shares, number, stamp, 0, np.stack([block.start[d], block.size[d] - LENGTH + 1]).astype(np.int64).tobytes(), b""))
         return pa.Table.from_batches([_batch(names, types, rows)])
 
     return run
@@ -408,11 +408,11 @@ def repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = total_bytes(rows)
-    buckets = parts(spark, size, 24 << 20)
+    buckets, shares = parts(spark, size, 24 << 20), parts(spark, size, 6 << 20)
     names = rows.mapInArrow(_first_pass(buckets), "bucket int, block long, print long, a binary, b binary")
     bits = names.groupBy("bucket").applyInArrow(_meet_names(buckets), "block long, print long, bucket int, bits binary")
     packed = rows.mapInArrow(_packed, "block long, print long, ids binary, sizes binary, texts binary")
-    asked = packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_second_pass(buckets), "part int, block long, print long, kind int, a binary, b binary")
+    asked = packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_second_pass(buckets, shares), "part int, block long, print long, kind int, a binary, b binary")
     spans = asked.groupBy("part").applyInArrow(_meet_suffixes, "block long, print long, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_start array<long>, span_end array<long>" * with_spans
     return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_last_pass(with_spans), schema)
