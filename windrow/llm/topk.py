@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, nodes: int = NODES
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # the k-th score so far, as a distance; without k candidates there is no bound yet
     kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), "score")
-    limited = queries.join(kth, "id", "left").select("id", "v", F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(bound) - 2 * F.col("score"))).alias("limit"))
+    limited = queries.join(kth, "id", "left").select("id", "v", F.when(F.col("score").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(bound) - 2 * F.col("score")))).alias("limit"))
     rest = limited.mapInArrow(visits(False), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(search, found)
     return near.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
