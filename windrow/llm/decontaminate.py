@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import column_bytes
+from .textkit import column_bytes, slim
 
 Q = 8
 #: Edits allowed for each byte of an item. At most 1 / Q, or the bound says nothing.
@@ -178,7 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     """
     if not 0 <= rate <= 1 / Q:
         raise ValueError(f"rate must be from 0 to {1 / Q}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = bench.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).first()["n"] or 0
     blocks = int(size // ITEM_BYTES) + 1

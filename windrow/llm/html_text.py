@@ -15,6 +15,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import slim
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)",
@@ -259,7 +261,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def main_text(column):
         return column.map(extract)
 
-    return pages.withColumn("text", main_text(F.coalesce(F.col(html_col).cast("string"), F.lit("")))).withColumn("n_chars", F.char_length("text").cast("long")).select(*keep, "text", "n_chars")
+    return slim(pages).withColumn("text", main_text(F.coalesce(F.col(html_col).cast("string"), F.lit("")))).withColumn("n_chars", F.char_length("text").cast("long")).select(*keep, "text", "n_chars")
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

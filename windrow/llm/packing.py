@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import cut
+from .textkit import cut, slim
 
 WINDOW = 2048
 END_ID = 1
 #: Lengths, by number of pieces, of which combinations of three are enumerated.
 TRIPLE_LENGTHS = 96
 #: Distinct words a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 150_000
 
 #: Characters for which the plain pattern below cuts exactly as the tokenizer's own.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return slim(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:

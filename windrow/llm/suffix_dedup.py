@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Prefix, join_texts, parts, runs, sliding_min, spread, text_blocks, total_bytes
+from .textkit import Prefix, join_texts, parts, runs, slim, sliding_min, spread, text_blocks, total_bytes
 
 LENGTH = 50
 #: A difference cover: every residue modulo 21 is a difference of two of these.
@@ -406,7 +406,7 @@ def repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc
     its partitions change between two passes the query fails instead of returning wrong rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = slim(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = total_bytes(rows)
     buckets, shares = parts(spark, size, 24 << 20), parts(spark, size, 6 << 20)
     names = rows.mapInArrow(_first_pass(buckets), "bucket int, block long, print long, a binary, b binary")

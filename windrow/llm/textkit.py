@@ -174,3 +174,15 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a batch that a Python worker is sent where the session leaves Spark's default: whole texts are long.
+BATCH_ROWS = "500"
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small; a size that the user has chosen stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return df

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import matrix, pool_adjacent, summed
-from .textkit import cut
+from .textkit import cut, slim
 
 THRESHOLD = 0.7
 #: Words learnt from labelled rows that join the lexicon, least documents for one, and calibration bins.
@@ -210,7 +210,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
     labels of one document count once (the larger).
     """
     rest = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(3))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("y"))
     known = cut(known.where(rest(F.col("doc_id")) != held))
     picked = known.orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
