@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, moments, readout, relate, sampling, sequence
+from ..operators import align, metrics, moments, paired, readout, relate, sampling, sequence, updates
 from ..sources import tables
 
 QUERIES: dict = {}
@@ -392,3 +392,84 @@ def linear_discriminant_recall(spark, sf_dir):
 @query()
 def ridge_readout_recall(spark, sf_dir):
     return metrics.recalls(readout.ridge_readout(_windows(spark, sf_dir), "vec_id", "label", "embedding"), "label", "predicted")
+
+
+@query()
+def quadratic_discriminant_recall(spark, sf_dir):
+    rows = readout.quadratic_scores(_windows(spark, sf_dir), "vec_id", "label", "embedding", 0.5)
+    return metrics.recalls(rows, "label", "predicted").withColumn("recall", _r("recall"))
+
+
+@query()
+def class_covariance_diagnostics(spark, sf_dir):
+    return spark.createDataFrame(readout.covariance_diagnostics(moments.sufficient(_windows(spark, sf_dir), "embedding", "label")), "label long, n long, rank int, condition double, log_determinant double")
+
+
+# paired tests
+
+_D = "d AS (SELECT event_type, round(avg(value) - any_value(m), 6) AS d FROM events JOIN (SELECT user_id, avg(value) AS m FROM events GROUP BY 1) u USING (user_id) GROUP BY event_type, user_id)"
+
+
+def _differences(spark, sf_dir):
+    """Each user's mean of a type less the user's mean."""
+    e = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    w = Window.partitionBy("user_id")
+    return e.select("event_type", _r(F.col("s") / F.col("n") - F.sum("s").over(w) / F.sum("n").over(w)).alias("d"))
+
+
+@query(f"WITH {_D}, c AS (SELECT event_type, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d < 0) AS losses FROM d GROUP BY 1) SELECT event_type, wins, losses, round(least(1, 2 * sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)))), 6) AS p FROM c JOIN range(0, 1000000) r(i) ON i <= least(wins, losses) GROUP BY 1, 2, 3")
+def sign_test(spark, sf_dir):
+    return paired.sign_test(_differences(spark, sf_dir), "d", "event_type").withColumn("p", _r("p"))
+
+
+@query(f"WITH {_D}, r AS (SELECT event_type, d, rank() OVER (PARTITION BY event_type ORDER BY abs(d)) + (count(*) OVER (PARTITION BY event_type, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY event_type, abs(d)) AS t FROM d WHERE d <> 0), s AS (SELECT event_type, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(t * t - 1) AS ties FROM r GROUP BY 1) SELECT event_type, n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(w_minus AS DOUBLE) AS w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 5) AS z FROM s")
+def signed_rank_test(spark, sf_dir):
+    return paired.signed_ranks(_differences(spark, sf_dir), "d", "event_type").select("event_type", "n", "w_plus", "w_minus", _r("z", 5).alias("z"))
+
+
+# alignment and slow features
+
+
+@query(f"WITH {_X}, m AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY 1, 2), k AS (SELECT label, vec_id, sqrt(sum(m * m)) / sqrt(sum(v * v)) AS q FROM x JOIN m USING (label, dim) GROUP BY 1, 2) SELECT label, round(avg(q), 6) AS displacement FROM k GROUP BY 1")
+def centring_displacement(spark, sf_dir):
+    moved = align.centred_by(_windows(spark, sf_dir), "embedding", "label")
+    return align.relative_displacement(moved, "embedding", "aligned", "label").withColumn("displacement", _r("displacement"))
+
+
+@query()
+def coral_displacement(spark, sf_dir):
+    w = _windows(spark, sf_dir)
+    source = w.where("label < 5")
+    moved = align.affine(source, "embedding", *align.coral(source, w.where("label >= 5"), "embedding"))
+    return align.relative_displacement(moved, "embedding", "aligned", "label").withColumn("displacement", _r("displacement"))
+
+
+@query()
+def slow_feature_gammas(spark, sf_dir):
+    gammas, _ = align.slow_features(_windows(spark, sf_dir), "label", "vec_id", "embedding")
+    return spark.createDataFrame([(i + 1, round(float(g), 6)) for i, g in enumerate(gammas)], "axis int, gamma double")
+
+
+# update matrices: four consecutive embeddings stand for four tasks of a module, each an 8 x 8 matrix
+
+
+def _updates(spark, sf_dir):
+    return _windows(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 4).alias("module"), (F.col("vec_id") % 4).alias("task"), "embedding")
+
+
+@query(f"WITH {_X}, s AS (SELECT vec_id, sum(v * v) AS e FROM x GROUP BY 1) SELECT d.vec_id // 4 AS module, d.vec_id % 4 AS task, round(d.e / nullif(b.e, 0), 6) AS energy FROM s d JOIN s b ON d.vec_id // 4 = b.vec_id // 4 AND b.vec_id % 4 = 0 AND d.vec_id % 4 <> 0")
+def relative_update_energy(spark, sf_dir):
+    u = _updates(spark, sf_dir)
+    return updates.relative_energy(u.where("task <> 0"), u.where("task = 0"), "module", "embedding", "task").withColumn("energy", _r("energy"))
+
+
+@query()
+def singular_energy(spark, sf_dir):
+    return updates.energy_curve(updates.components(_updates(spark, sf_dir), "vec_id", 8, 8, "embedding"), "vec_id").withColumn("energy", _r("energy"))
+
+
+@query()
+def task_interference(spark, sf_dir):
+    u = _updates(spark, sf_dir)
+    parts = updates.components(u, "vec_id", 8, 8, "embedding").select("*", F.floor(F.col("vec_id") / 4).alias("module"), (F.col("vec_id") % 4).alias("task"))
+    return updates.interference(parts, "module", "task", 0.25).withColumn("interference", _r("interference"))
