@@ -92,14 +92,16 @@ class Voters:
         #: one voter more for each of: two kinds of evidence, dense evidence
         self.voters = self.evidence + 2
         self.size = self.evidence + 4
-        self.finder = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(map(re.escape, self.words), key=len, reverse=True)) + r")(?![^\W\d_])")
 
     def features(self, text: str) -> list[float]:
         counts = [0] * self.evidence
         kinds: set[str] = set()
         hits = 0
-        for w in self.finder.findall(text.lower()):
-            for i in self.words[w]:
+        for w in lower_words(text):
+            voters = self.words.get(w)
+            if voters is None:
+                continue
+            for i in voters:
                 counts[i] += 1
             kinds.add(w)
             hits += 1
