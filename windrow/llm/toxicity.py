@@ -64,7 +64,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learnt_words(marked: DataFrame, most: int = LEARNT, least: int = LEAST) -> list[str]:
     """Words that far more toxic than other labelled documents hold; at most `most` reach the driver."""
-    marked = marked.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("y").alias("y"))  # copies count once
+    marked = cut(marked.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("y").alias("y")))  # copies count once
     total = marked.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = int(total["p"] or 0), int(total["n"] or 0)
     if not p or p == n:
@@ -216,7 +216,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("y"))
     known = cut(known.where(rest(F.col("doc_id")) != held))
     picked = known.orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    voters = Voters(learnt_words(rows.join(picked, "doc_id").select("text", "y")))
+    # at most SAMPLE pairs of longs are broadcast, so that no text but theirs is shuffled
+    voters = Voters(learnt_words(rows.join(F.broadcast(picked), "doc_id").select("text", "y")))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
