@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from windrow.llm import chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity
+from windrow.llm import chat, decontaminate, html_text, minhash, packing, passages, quality, simhash, suffix_dedup, topk, toxicity
 from windrow.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -312,6 +312,46 @@ def test_chats(spark):
     assert json.loads(made["json"])["tool_calls"][0] == {"arguments": {"a": 1, "b": 2}, "id": "c1", "name": "add"} and '{"a":1,"b":2}' in made["json"]
 
 
+def test_near_copies_of_the_pipeline(spark, tmp_path):
+    """Planted copies of Jaccard 0.8 to 1 all leave; a chain joins; pairs under 0.8 stay."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    texts = {}
+    for i in range(60):
+        texts[i] = words(rng.randrange(60, 400))
+        near = list(texts[i])
+        for _ in range(rng.randrange(0, 12)):
+            near[rng.randrange(len(near))] = "changed"
+        texts[1000 + i] = near
+    for i in range(40):  # one large group: each member near its neighbours only
+        texts[2000 + i] = texts[2000 + i - 1][8:] + words(8) if i else words(200)
+    texts |= {3000: ["a", "b"], 3001: ["A", "b"], 3002: ["a", "c"], 3003: [], 3004: []}
+    ids = sorted(texts)
+    own = {i: sets([w.lower() for w in texts[i]]) for i in ids}
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    df = table(spark, tmp_path, [(i, " ".join(t), "en", "s", 1) for i, t in texts.items()], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(df).collect()}
+    assert got == {i: find(i) for i in ids}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_first(spark, df, SF).collect()) == sorted({find(i) for i in ids})
+    assert minhash.near_copies(df.limit(0)).count() == 0
+    odd = odd_docs(spark, tmp_path)[1]
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_copies(odd).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 5), (8, 8), (9, 9)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
