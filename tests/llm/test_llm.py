@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,6 +84,43 @@ def test_planted_passages_are_found_and_cut(spark, tmp_path):
     assert kept[3] == rows[3][1] and kept[7].split() == rows[7][1].split()[:50] + rows[7][1].split()[-50:] and kept[12] == rows[12][1]
 
 
+def test_families_of_near_passages_are_whole(spark, tmp_path):
+    """Families of variants of one template: each pair of near passages ends in one class, whoever holds a key first."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, texts = words(60), []
+    for _ in range(40):
+        family = list(template)
+        for i in rng.sample(range(60), 4):
+            family[i] = words(1)[0]
+        for _ in range(5):
+            one = list(family)
+            one[rng.choice([1, 2, 57, 58])] = words(1)[0]
+            texts.append(one)
+    rng.shuffle(texts)
+    df = table(spark, tmp_path, [(i, " ".join(words(20) + t + words(20))) for i, t in enumerate(texts)], "doc_id long, text string")
+    shingles = [np.array([hash(tuple(t[i : i + 5])) & (2**32 - 1) for i in range(56)], np.uint32) for t in texts]
+    want = {(a, b) for a in range(200) for b in range(a) if passages.shared_spans(shingles[a], shingles[b]) and passages.shared_spans(shingles[b], shingles[a])}
+    links = passages.repeated_passages(df)
+    found = {r["doc_id"]: r["class_id"] for r in passages.classes(links).collect()}
+    linked = {(r["doc"], r["other"]) for r in links.select("doc", "other").collect()}
+    assert len(want) >= 100 and all(a in found and found[a] == found[b] for a, b in want)
+    assert len(want & linked) >= 0.95 * len(want)
+
+
+def test_sub_blocks_of_a_key_meet(monkeypatch):
+    monkeypatch.setattr(passages, "FEW", 4)
+    monkeypatch.setattr(passages, "SIDE", 8)
+    key, doc = np.repeat([5, 9, 11], [20, 3, 30]), np.r_[np.arange(20), 1, 1, 2, np.arange(30) % 15]
+    at, stretch = np.arange(53), np.r_[np.arange(20), 0, 1, 1, np.arange(30)]
+    blob = passages._packed([np.diff(key, prepend=0), stretch, doc, at, at + 50])
+    met = passages._meet(pa.table({"kind": [0], "fn": [2], "blob": [blob]}))
+    got = sorted(tuple(sorted((r["l"], r["ol"]))) for b in passages._cross(iter(met.to_batches())) for r in b.to_pylist() if r["doc"] > r["other"] and r["fn"] == 2)
+    want = [(i, j) for i in range(53) for j in range(i + 1, 53) if key[i] == key[j] and doc[i] != doc[j]]
+    want.remove((20, 22))  # 22 is equal to 21, which 20 shares its document with
+    assert got == want
+
+
 # 2: pages
 
 
