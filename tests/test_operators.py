@@ -102,3 +102,27 @@ def test_streaming_windows(spark, tmp_path):
     q.stop()
     want = batch.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "10 minutes", "5 minutes"), "event_type").count().count()
     assert spark.table("sliding").count() == want
+
+
+def test_catalog_covers_all_components_and_positions(spark, tmp_path):
+    """Every one of 64 components, and a user of 5000 samples, past the fixed ends of the hand-written SQL."""
+    from windrow.plans import catalog
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(5000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id div 4990 as user_id", "'a' as event_type", "double(id) as value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["label"], r["i"], r["j"]): r["cov"] for r in catalog.QUERIES["class_covariance_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 2080
+    for c in (0, 1):
+        want = np.cov(x[c::2].astype(float), rowvar=False)
+        assert all(abs(got[c, i, j] - want[i, j]) < 2e-6 for i in range(64) for j in range(i, 64))
+    n = {(r["user_id"], r["interval_no"]): r["n"] for r in catalog.QUERIES["samples_in_all_intervals"](spark, str(tmp_path)).collect()}
+    want = {}
+    for u, size in ((0, 4990), (1, 10)):
+        for t in range(size):
+            if t % 7 < 5:
+                want[u, t // 7] = want.get((u, t // 7), 0) + 1
+    assert n == want
+    starts = sorted(r["start"] for r in catalog.QUERIES["sliding_window_means"](spark, str(tmp_path)).where("user_id = 0").select("start").collect())
+    assert starts == list(range(0, 4990 - 8 + 1, 3))

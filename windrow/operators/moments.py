@@ -21,6 +21,13 @@ def covariance(windows: DataFrame, vector: str, dims: int, *keys: str) -> DataFr
     return wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.i", "c.j", "c.cov")
 
 
+def whole_covariance(windows: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """Covariance (n - 1) of all components of each class, upper triangle in long form: each row pairs its own components."""
+    first = windows.select(*keys, vector, F.posexplode(vector).alias("i", "_x"))
+    both = first.select(*keys, "i", "_x", F.posexplode(F.slice(F.col(vector), F.col("i") + 1, F.size(vector))).alias("_k", "_y"))
+    return both.groupBy(*keys, "i", (F.col("i") + F.col("_k")).alias("j")).agg(F.covar_samp(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("cov"))
+
+
 def squared_distances(windows: DataFrame, centres: DataFrame, vector: str, key: str) -> DataFrame:
     """d2 of each window to each of a bounded list of centres (label, centre array): classes are few, so they are broadcast."""
     d2 = F.aggregate(F.zip_with(F.col(vector), F.col("centre"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)

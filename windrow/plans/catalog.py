@@ -109,6 +109,15 @@ def samples_in_intervals(spark, sf_dir):
     return relate.in_intervals(s, spans, "user_id", "t", "start", "stop", 8).groupBy("user_id", F.col("interval_no").cast("long").alias("interval_no")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_T} SELECT user_id, t // 7 AS interval_no, count(*) AS n FROM t WHERE t % 7 < 5 GROUP BY 1, 2")
+def samples_in_all_intervals(spark, sf_dir):
+    """samples_in_intervals with intervals up to each user's last position."""
+    s = _samples(spark, sf_dir).select("user_id", "t")
+    last = s.groupBy("user_id").agg(F.max("t").alias("last"))
+    spans = last.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 7))).alias("interval_no")).withColumns({"start": F.col("interval_no") * 7, "stop": F.col("interval_no") * 7 + 5})
+    return relate.in_intervals(s, spans, "user_id", "t", "start", "stop", 8).groupBy("user_id", "interval_no").agg(F.count("*").alias("n"))
+
+
 @query("WITH e AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)), l AS (SELECT user_id, ts, event_id FROM events JOIN e USING (event_type) WHERE i = 1), r AS (SELECT user_id, ts, max(value) AS value FROM events JOIN e USING (event_type) WHERE i = 2 GROUP BY 1, 2) SELECT l.user_id, l.event_id, round(r.value, 6) AS as_of FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def as_of_match(spark, sf_dir):
     e = _events(spark, sf_dir)
@@ -177,6 +186,12 @@ def class_covariance(spark, sf_dir):
     return moments.covariance(_windows(spark, sf_dir), "embedding", 3, "label").withColumn("cov", _r("cov"))
 
 
+@query(f"WITH {_X} SELECT a.label, CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(covar_samp(a.v, b.v), 6) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY 1, 2, 3")
+def class_covariance_whole(spark, sf_dir):
+    """class_covariance over all components."""
+    return moments.whole_covariance(_windows(spark, sf_dir).select("label", "embedding"), "embedding", "label").withColumn("cov", _r("cov"))
+
+
 @query("WITH g AS (SELECT event_type, user_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1, 2), k AS (SELECT *, sum(n * m) OVER (PARTITION BY event_type) / sum(n) OVER (PARTITION BY event_type) AS mu FROM g) SELECT event_type, round(sum(n * v), 3) AS within, round(sum(n * (m - mu) * (m - mu)), 3) AS between, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1")
 def variance_decomposition(spark, sf_dir):
     return moments.decomposition(_events(spark, sf_dir), "user_id", "value", "event_type").withColumns({"within": _r("within", 3), "between": _r("between", 3)})
