@@ -1,4 +1,4 @@
-"""Partition-summed normal equations: each task adds up its own small matrix, tasks meet in two rounds."""
+"""Partition-summed normal equations: each task adds up its own small matrix, and Spark's sum adds the tasks' matrices."""
 
 from __future__ import annotations
 
@@ -6,32 +6,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Groups in which the tasks' matrices meet before one task adds the groups.
-FAN = 32
-
-
-def _sum(table: pa.Table) -> np.ndarray:
-    return np.sum([np.frombuffer(b, np.float64) for b in table.column("m").to_pylist()], axis=0)
+#: Doubles of a matrix that travel as one row.
+WIDE = 64
 
 
 def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows of part(batch), an array of `size` doubles; one such array reaches the driver."""
+    """The sum over all rows of part(batch), an array of `size` doubles; one such array reaches the driver.
+
+    A task sends its matrix as rows of WIDE doubles, which are added by place: no
+    task ever holds more than its own matrix, however many tasks there are.
+    """
+    blocks = -(-size // WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, any_rows = np.zeros(blocks * WIDE), False
         for batch in batches:
             if batch.num_rows:
-                total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "m"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        return pa.table({"g": pa.array([0], pa.int32()), "m": pa.array([_sum(table).tobytes()], pa.binary())})
-
-    sums = rows.mapInArrow(run, "g int, m binary").groupBy("g").applyInArrow(meet, "g int, m binary").groupBy("g").applyInArrow(meet, "g int, m binary").collect()
-    return np.frombuffer(sums[0]["m"], np.float64) if sums else np.zeros(size)
+                total[:size] += part(batch)
+                any_rows = True
+        if any_rows:
+            offsets = pa.array(np.arange(blocks + 1, dtype=np.int32) * WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total))], names=["i", "v"])
+
+    sums = rows.mapInArrow(run, "i int, v array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(WIDE)]).alias("v")).collect()
+    out = np.zeros(blocks * WIDE)
+    for r in sums:
+        out[r["i"] * WIDE : (r["i"] + 1) * WIDE] = r["v"]
+    return out[:size]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

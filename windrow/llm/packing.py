@@ -26,10 +26,11 @@ from .textkit import cut, slim
 
 WINDOW = 2048
 END_ID = 1
-#: Lengths, by number of pieces, of which combinations of three are enumerated.
+#: Lengths, by number of pieces, of which combinations of three are enumerated; others come in pairs or go to the
+#: greedy rest, so this bounds the size of the fit and changes the fill only.
 TRIPLE_LENGTHS = 96
-#: Distinct words a worker keeps the ids of.
-CACHE = 150_000
+#: Bytes of distinct words whose ids a worker keeps, and the longest word it keeps.
+CACHE, WORD = 8 << 20, 64
 
 #: Characters for which the plain pattern below cuts exactly as the tokenizer's own.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -50,11 +51,16 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.word = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, word: str) -> bytes:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        ids = self.seen[word] = np.array(self.word(word), "<u4").tobytes()
+        ids = np.array(self.word(word), "<u4").tobytes()
+        if len(word) <= WORD:
+            if self.held > CACHE:
+                self.seen.clear()
+                self.held = 0
+            self.seen[word] = ids
+            self.held += 160 + len(word) + len(ids)  # two objects and an entry
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -74,8 +80,8 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window
         for batch in batches:
             encoder = encoder or Encoder(json_path, rank_path, pattern)
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, ids = doc.as_py(), encoder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     own = ids[4 * start : 4 * (start + window)]

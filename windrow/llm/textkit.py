@@ -165,24 +165,30 @@ def parts(spark: SparkSession, size: int, most: int, least: int = 48) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder that the session names.
-
-    Only where none is named (tests, notebooks) a folder beside the warehouse is taken.
-    """
+    """Cut lineage with a checkpoint in the shared folder that the session names."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset and the master is local (tests, notebooks) a folder beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 #: Rows of a batch that a Python worker is sent where the session leaves Spark's default: whole texts are long.
 BATCH_ROWS = "500"
 
 
 def slim(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are small; a size that the user has chosen stays."""
+    """df, in a session whose Arrow batches are small; a size that the user has set, the default too, stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
+    if conf.get(key) == "10000" and df.sparkSession.sparkContext.getConf().get(key) is None:
         conf.set(key, BATCH_ROWS)
     return df
