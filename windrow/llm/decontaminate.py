@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import column_bytes, slim
+from .textkit import column_bytes, given_back, slim
 
 Q = 8
 #: Edits allowed for each byte of an item. At most 1 / Q, or the bound says nothing.
@@ -199,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(given_back(run), schema)
         out = part if out is None else out.union(part)
     return out
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import given_back
+
 #: Doubles of a matrix that travel as one row.
 WIDE = 64
 
@@ -31,7 +33,7 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size:
             offsets = pa.array(np.arange(blocks + 1, dtype=np.int32) * WIDE)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total))], names=["i", "v"])
 
-    sums = rows.mapInArrow(run, "i int, v array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(WIDE)]).alias("v")).collect()
+    sums = rows.mapInArrow(given_back(run), "i int, v array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(WIDE)]).alias("v")).collect()
     out = np.zeros(blocks * WIDE)
     for r in sums:
         out[r["i"] * WIDE : (r["i"] + 1) * WIDE] = r["v"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import cut, slim
+from .textkit import cut, given_back, slim
 
 WINDOW = 2048
 END_ID = 1
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return slim(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return slim(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(given_back(run), schema)
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import matrix, pool_adjacent, summed
-from .textkit import LOWER, column_bytes, cut, slim, word_bounds
+from .textkit import LOWER, column_bytes, cut, given_back, slim, word_bounds
 
 #: Random features, kernel width (in units of the root of the number of statistics), ridge, calibration bins.
 FEATURES, WIDTH, RIDGE, BINS = 384, 1.0, 1.0, 512
@@ -79,7 +79,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<double>) for each row."""
-    return slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_statistics, "doc_id long, x array<double>")
+    return slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(given_back(_statistics), "doc_id long, x array<double>")
 
 
 class Kernel:
@@ -173,7 +173,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 2, id_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))) if batch.num_rows else [], pa.float64())], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(given_back(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(rest(F.col("doc_id")) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textkit import LOWER, column_bytes, cut, slim
+from .textkit import LOWER, column_bytes, cut, given_back, slim
 
 RADIUS = 2
 SHINGLE = 3
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): one row for each row of docs; null text is empty, and empty text has fingerprint 0."""
-    return slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(given_back(_fingerprints), "doc_id long, fp long")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
         child, root = shard_forest(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), radius)
         return pa.table({"u": pa.array(ids[child]), "v": pa.array(ids[root])})
 
-    return marks.select("fp", "id").mapInArrow(deal, "shard int, fp long, id long, home boolean").groupBy("shard").applyInArrow(pair, "u long, v long")
+    return marks.select("fp", "id").mapInArrow(given_back(deal), "shard int, fp long, id long, home boolean").groupBy("shard").applyInArrow(given_back(pair), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

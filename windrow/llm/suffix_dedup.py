@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Prefix, join_texts, parts, runs, slim, sliding_min, spread, text_blocks, total_bytes
+from .textkit import Prefix, given_back, join_texts, parts, runs, sliding_min, slim, spread, text_blocks, total_bytes
 
 LENGTH = 50
 #: A difference cover: every residue modulo 21 is a difference of two of these.
@@ -409,13 +409,13 @@ def repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc
     rows = slim(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = total_bytes(rows)
     buckets, shares = parts(spark, size, 24 << 20), parts(spark, size, 6 << 20)
-    names = rows.mapInArrow(_first_pass(buckets), "bucket int, block long, print long, a binary, b binary")
-    bits = names.groupBy("bucket").applyInArrow(_meet_names(buckets), "block long, print long, bucket int, bits binary")
-    packed = rows.mapInArrow(_packed, "block long, print long, ids binary, sizes binary, texts binary")
-    asked = packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_second_pass(buckets, shares), "part int, block long, print long, kind int, a binary, b binary")
-    spans = asked.groupBy("part").applyInArrow(_meet_suffixes, "block long, print long, spans binary")
+    names = rows.mapInArrow(given_back(_first_pass(buckets)), "bucket int, block long, print long, a binary, b binary")
+    bits = names.groupBy("bucket").applyInArrow(given_back(_meet_names(buckets)), "block long, print long, bucket int, bits binary")
+    packed = rows.mapInArrow(given_back(_packed), "block long, print long, ids binary, sizes binary, texts binary")
+    asked = packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(given_back(_second_pass(buckets, shares)), "part int, block long, print long, kind int, a binary, b binary")
+    spans = asked.groupBy("part").applyInArrow(given_back(_meet_suffixes), "block long, print long, spans binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_start array<long>, span_end array<long>" * with_spans
-    return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_last_pass(with_spans), schema)
+    return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(given_back(_last_pass(with_spans)), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import cut
+from .textkit import cut, given_back
 
 #: Routing nodes (a bounded sample of the vectors), vectors in a page, queries in a block.
 NODES, PAGE, QUERIES = 64, 1024, 512
@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, nodes: int = NODES
                 node = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), pa.array(d[np.arange(len(d)), node]), batch.column(0), batch.column(1)], names=["node", "far", "id", "v"])
 
-    placed = vectors.mapInArrow(assign, "node int, far double, id long, v array<double>")
+    placed = vectors.mapInArrow(given_back(assign), "node int, far double, id long, v array<double>")
     sizes = {r["node"]: (r["n"], r["r"]) for r in placed.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}  # at most `nodes` rows
     radius = np.array([sizes.get(i, (0, -1.0))[1] for i in range(len(pivots))])
     count = np.array([sizes.get(i, (0, 0))[0] for i in range(len(pivots))])
@@ -100,7 +100,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, nodes: int = NODES
         blob = [centre.tobytes(), d[order].tobytes(), ids[order].tobytes(), v[order].tobytes()]
         return pa.table({"node": table.column("node")[:1], "slot": table.column("slot")[:1], "radius": [float(d.max())], **{n: pa.array([b], pa.binary()) for n, b in zip(("centre", "far", "ids", "vs"), blob, strict=True)}})
 
-    pages = cut(salted.groupBy("node", "slot").applyInArrow(build, "node int, slot int, radius double, centre binary, far binary, ids binary, vs binary"))
+    pages = cut(salted.groupBy("node", "slot").applyInArrow(given_back(build), "node int, slot int, radius double, centre binary, far binary, ids binary, vs binary"))
 
     def visits(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +156,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, nodes: int = NODES
 
     schema = "node int, slot int, qids binary, qs binary, limits binary"
     found = "query_id long, vec_id long, score long"
-    near = cut(queries.mapInArrow(visits(True), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(search, found))
+    near = cut(queries.mapInArrow(given_back(visits(True)), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(given_back(search), found))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # the k-th score so far, as a distance; without k candidates there is no bound yet
     kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), "score")
     limited = queries.join(kth, "id", "left").select("id", "v", F.when(F.col("score").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(bound) - 2 * F.col("score")))).alias("limit"))
-    rest = limited.mapInArrow(visits(False), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(search, found)
+    rest = limited.mapInArrow(given_back(visits(False)), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(given_back(search), found)
     return near.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

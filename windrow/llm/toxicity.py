@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import matrix, pool_adjacent, summed
-from .textkit import cut, slim
+from .textkit import cut, given_back, slim
 
 THRESHOLD = 0.7
 #: Words learnt from labelled rows that join the lexicon, least documents for one, and calibration bins.
@@ -69,7 +69,7 @@ def learnt_words(marked: DataFrame, most: int = LEARNT, least: int = LEAST) -> l
     p, n = int(total["p"] or 0), int(total["n"] or 0)
     if not p or p == n:
         return []
-    counts = marked.select("text", "y").mapInArrow(_words, "w string, y long").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("c"))
+    counts = marked.select("text", "y").mapInArrow(given_back(_words), "w string, y long").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("c"))
     rate = (F.col("a") / p) / ((F.col("c") - F.col("a") + 0.5) / (n - p + 1))
     # a list that toxic documents use needs both a strong ratio and a share that chance does not give
     best = counts.where((F.col("a") >= max(least, 0.008 * p)) & (rate >= 10)).orderBy(F.col("a").desc(), "w").limit(most)
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
             x = [voters.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    seen = cut(rows.mapInArrow(evidence, "doc_id long, x array<double>"))
+    seen = cut(rows.mapInArrow(given_back(evidence), "doc_id long, x array<double>"))
     marked = cut(seen.join(known, "doc_id").select("x", F.col("y").cast("double").alias("y")))
     model = fit_label_model(seen.select("x"), voters, start_model(marked, voters))
     weights = fit_linear(seen.select("x"), voters, model)
@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
             out = np.clip(0.999 * np.interp(raw, centres, levels) + 0.001 * raw, 0, 1) if len(used) else raw
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    scored = seen.mapInArrow(score, "doc_id long, score double")
+    scored = seen.mapInArrow(given_back(score), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(rest(F.col("doc_id")) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
