@@ -260,6 +260,90 @@ def test_main_text(page, want):
     assert html_text.extract(page) == want
 
 
+ARTICLE = "<h1>Title</h1><p>First, a long paragraph with commas, words, and enough of them to score.</p><p>Second, another one, which is also long enough to count as text.</p>"
+PLAIN = "Title First, a long paragraph with commas, words, and enough of them to score. Second, another one, which is also long enough to count as text."
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "with-comments", "social-science", "legal-news", "has-ads", "sidebar", "page comments-open", "layout-sidebar"])
+def test_wrappers_with_an_unwanted_word_keep_the_article(name):
+    assert html_text.extract(f"<body><nav>menu</nav><div class='{name}'>{ARTICLE}</div></body>") == PLAIN
+
+
+@pytest.mark.parametrize("name", ["sidebar", "ad", "site-footer", "comments", "comment-list", "cookie-notice", "related", "ad-3", "social-share", "newsletter-signup"])
+def test_unwanted_names_beside_an_article_go(name):
+    extra = f"<div class='{name}'><p>Reader, one, says something long enough, with commas, to score points.</p><p>And, again, more of it, even longer than the first one was.</p></div>"
+    for page in (f"<main>{ARTICLE}</main>{extra}", f"<div>{ARTICLE}{extra}</div>", f"<div>{ARTICLE}</div>{extra}{extra}"):
+        assert html_text.extract(page) == PLAIN
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    import time
+
+    def took(n):
+        pages = ["<div>" * n + "text, here" + "</b>" * n, "<div>x" * n, "<b>" * n + "<p>y</p>" * n, "<b><table><td>" + "<div>" * n + "</b>" * n, "<ul>" + "<b>" * n + "<li>z" * n]
+        began = time.process_time()
+        for p in pages:
+            html_text.extract(p)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16000) < 12 * max(took(4000), 0.02)
+
+
+def plain_text(page):
+    """Blocks of a well-formed page outside unwanted tags, by the standard library's parser: what a page of one article should give."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.blocks, self.now = 0, [], ""
+
+        def cut(self):
+            if self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK:
+                self.cut()
+            self.off += tag in html_text.DROP_TAG
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.cut()
+            self.off -= tag in html_text.DROP_TAG
+
+        def handle_data(self, data):
+            if not self.off:
+                self.now += data
+
+    t = Text()
+    t.feed(page)
+    t.cut()
+    return " ".join(t.blocks)
+
+
+def test_generated_articles_match_another_parser():
+    rng = random.Random(9)
+    word = lambda: rng.choice(["alpha", "beta,", "gamma &amp; delta", "<b>bold</b>", "<em>x</em>y", "caf&eacute;", "&lt;tag&gt;", "1&nbsp;2"])
+    for _ in range(60):
+        body = ""
+        for _ in range(rng.randrange(3, 9)):
+            inner = " ".join(word() for _ in range(rng.randrange(15, 40)))
+            body += rng.choice([f"<p>{inner}, long enough, with commas.</p>", f"<h2>{inner}</h2>", f"<blockquote><p>{inner}, said, again.</p></blockquote>", f"<ul><li>{inner}</li><li>{inner}</li></ul>"])
+        page = f"<html><head><title>t</title><script>var a = '<p>';</script></head><body><nav><a href='/'>Home</a></nav><article>{body}<form><p>field</p></form></article><footer><p>foot</p></footer></body></html>"
+        assert html_text.extract(page) == plain_text(page)
+
+
+def test_pages_on_odd_tables(spark, tmp_path):
+    rows = [(1, None, "x", 1), (1, None, "x", 1), (2, "", None, 2), (None, "<p>words</p>", "y", 3)]
+    df = table(spark, tmp_path, rows, "page_id long, html string, text string, n_chars int")
+    got = html_text.extract_pages(df.withColumn("score", F.lit(1)))
+    assert got.columns == ["page_id", "html", "score", "text", "n_chars"] and sorted(r["text"] for r in got.collect()) == ["", "", "", "words"]
+    assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
 def test_pages_keep_every_row(spark):
     got = html_text.op2_html(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and got.where("n_chars <> char_length(text) or text is null").count() == 0

@@ -4,7 +4,8 @@ Paragraphs earn points for their length and their commas and pass them to their
 ancestors, ever less with distance; a container's points are discounted by its
 share of link text; the best container is kept with those siblings that hold
 enough points of their own. Subtrees whose tag, role or class says menu,
-advert, form, comments and so on never score and are never printed.
+advert, form, comments and so on never score and are never printed, unless a class
+name is on a part that holds the page itself.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ DROP_NAME = frozenset(
     " breadcrumb breadcrumbs crumbs footer foot masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager paginator copyright legal login signin search searchbox skip outbrain taboola".split()
 )
+#: A name that has one of these words beside an unwanted one says what the page is like, not what the part is.
+NOT_NAME = frozenset("no not without with has have is hide hidden show enable enabled disable disabled layout".split())
+#: Words that name a part of what the word before them names.
+PART_NAME = frozenset(
+    "area bar block body box button buttons btn card cards col column content container form group header holder icon icons inner item items label layer left link links list message"
+    " navigation nav panel popup pane right row section slot space strip text title top bottom unit view widget wrap wrapper zone footer banner menu overlay module prompt policy notice consent".split()
+)
 #: With one of these names, "header" belongs to the article.
 OWN_NAME = frozenset("article entry post story content".split())
 GOOD_NAME = frozenset("article body content entry main page post story text blog".split())
@@ -64,12 +72,14 @@ HOLDER = frozenset("article main section div body td table dl ul ol center detai
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "dropped", "score", "chars", "linked", "links", "kids", "commas", "order")
+    __slots__ = ("tag", "parent", "names", "dropped", "named", "score", "points", "chars", "linked", "links", "kids", "commas", "order", "heads", "inside", "listed")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset, dropped: bool, order: int):
-        self.tag, self.parent, self.names, self.dropped, self.order = tag, parent, names, dropped, order
-        self.score = 0.0
+    def __init__(self, tag: str, parent: Node | None, names: frozenset, dropped: bool, order: int, named: bool = False):
+        self.tag, self.parent, self.names, self.dropped, self.order, self.named = tag, parent, names, dropped, order, named
+        self.score = self.points = 0.0
         self.chars = self.linked = self.links = self.commas = 0
+        self.heads = int(tag in ("h1", "main"))
+        self.inside = self.listed = False
         self.kids: list[Node] = []
 
 
@@ -90,36 +100,68 @@ def _unwanted(tag: str, attrs: dict[str, str], names: frozenset, in_article: boo
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    return bool(names & DROP_NAME) or ("header" in names and not names & OWN_NAME and not in_article)
+    return False
+
+
+def _named(value: str, in_article: bool) -> bool:
+    """Whether one of the names in an attribute says that the part is unwanted.
+
+    A whole name or the last word of a compound ("site-footer", "comment-list" by its first) counts; a compound that negates
+    or qualifies it ("no-sidebar", "with-comments", "social-science") does not.
+    """
+    for name in value.lower().split():
+        words = _NAME.findall(name)
+        if not words or set(words) & NOT_NAME and len(words) > 1:
+            continue
+        if words[-1] in DROP_NAME or words[0] in DROP_NAME and (len(words) == 1 or words[1] in PART_NAME or words[1].isdigit()):
+            return True
+        if "header" in (words[0], words[-1]) and not set(words) & OWN_NAME and not in_article:
+            return True
+    return False
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """A page's nodes and its (innermost block, text) blocks in page order; unwanted subtrees have no blocks."""
+    """A page's nodes and its (innermost block, text) blocks in page order, in time linear in the page.
+
+    Subtrees unwanted by tag, role or style have no blocks; those unwanted by name are marked.
+    """
     root = Node("#root", None, frozenset(), False, 0)
     nodes, stack, blocks = [root], [root], []
+    #: places in the stack of each open tag, of blocks and of elements that an inline end tag does not cross
+    opened: dict[str, list[int]] = {}
+    block_at, wall_at = [0], [0]
     pieces: list[str] = []
-    chars = linked = 0
-    link_depth = 0
+    linked = link_depth = articles = 0
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal chars, linked
+        nonlocal linked
         if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces)) if "&" in "".join(pieces) else "".join(pieces)).strip()
+            whole = "".join(pieces)
+            text = _SPACE.sub(" ", html.unescape(whole) if "&" in whole else whole).strip()
             if text:
-                owner = next(x for x in reversed(stack) if x.tag in BLOCK or x is root)
+                owner = stack[block_at[-1]]
                 blocks.append((owner, text))
                 owner.chars += len(text)
                 owner.commas += text.count(",") + text.count("、") + text.count("，")
                 owner.linked += min(len(text), linked)
             pieces.clear()
-        chars = linked = 0
+        linked = 0
 
     def pop_to(i: int) -> None:
-        nonlocal link_depth
-        for x in stack[i:]:
+        nonlocal link_depth, articles
+        while len(stack) > i:
+            x = stack.pop()
+            opened[x.tag].pop()
             link_depth -= x.tag == "a"
-        del stack[i:]
+            articles -= x.tag in ("article", "main")
+        while block_at[-1] >= i:
+            block_at.pop()
+        while wall_at[-1] >= i:
+            wall_at.pop()
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -145,31 +187,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in BLOCK:
             flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if any(x.tag in BLOCK for x in stack[i:]):
-                        flush()
-                    pop_to(i)
-                    break
-                if stack[i].tag in ("table", "td", "article", "main", "body") and tag not in BLOCK:
-                    break
+            i = last((tag,))
+            if i > 0 and (tag in BLOCK or wall_at[-1] <= i):
+                if block_at[-1] >= i:
+                    flush()
+                pop_to(i)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag in ENDS_P and stack[block_at[-1]].tag == "p":
+            pop_to(block_at[-1])
         if tag in ENDS:
             ends, beyond = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in beyond:
+            while (i := last(ends)) > max(0, last(beyond)):
+                pop_to(i)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
-                if stack[i].tag in ends:
-                    pop_to(i)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
         if tag in VOID:
             continue
         attrs = _attributes(raw)
@@ -179,13 +210,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        in_article = any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, parent, names, parent.dropped or _unwanted(tag, attrs, names, in_article), len(nodes))
+        named = tag not in KEEP and bool(attrs) and (_named(attrs.get("class", ""), articles > 0) or _named(attrs.get("id", ""), articles > 0))
+        unwanted = _unwanted(tag, attrs, names, articles > 0)
+        # an unwanted name drops an inline element at once; a block is judged by what it holds
+        node = Node(tag, parent, names, parent.dropped or unwanted or named and tag not in BLOCK, len(nodes), named and tag in BLOCK)
         if raw.endswith("/") and tag in ("svg", "path", "a"):
             continue
         nodes.append(node)
         parent.kids.append(node)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_at.append(len(stack))
+        if tag in ("table", "td", "article", "main", "body"):
+            wall_at.append(len(stack))
         stack.append(node)
+        articles += tag in ("article", "main")
         if tag == "a":
             link_depth += 1
             parent.links += 1
@@ -193,19 +232,42 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def _drop_named(nodes: list[Node]) -> None:
+    """Drops subtrees with an unwanted name, but for one that is the page itself.
+
+    That is one with most of the page's paragraph points and a main heading, or with all points.
+    """
+    whole = {id(x): (x.points, x.heads) for x in nodes}
+    for x in reversed(nodes):
+        if x.parent is not None:
+            p, h = whole[id(x.parent)]
+            q, g = whole[id(x)]
+            whole[id(x.parent)] = (p + q, h + g)
+    total = whole[id(nodes[0])][0]
+    for x in nodes:
+        if x.named:
+            points, heads = whole[id(x)]
+            x.named = not (points > 0 and (points >= total or points > total / 2 and heads))
+        if (x.parent is not None and x.parent.dropped or x.named) and not x.dropped:
+            x.dropped = True
+        if x.dropped:
+            x.points, x.chars, x.linked, x.commas = 0.0, 0, 0, 0
+
+
 def extract(page: str | None) -> str:
     """The main text of one page: blocks in page order, joined by one space; empty if there is none."""
     if not page:
         return ""
     nodes, blocks = parse(page)
+    for node in nodes:
+        if node.chars and (node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "li", "dd") and node.chars >= 25):
+            node.points = 1 + node.commas + min(node.chars / 100, 3)
+    _drop_named(nodes)
+    blocks = [b for b in blocks if not b[0].dropped]
     if not blocks:
         return ""
-    own = {id(b[0]): (b[0].chars, b[0].linked) for b in blocks}
     for node in nodes:
-        points = 0.0
-        length = own.get(id(node), (0, 0))[0]
-        if length and (node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "li", "dd") and length >= 25):
-            points = 1 + node.commas + min(length / 100, 3)
+        points = node.points
         share, level, up = points, 0, node if node.tag not in PARAGRAPH else node.parent
         while points and up is not None and level < 6:
             up.score += share
@@ -234,26 +296,21 @@ def extract(page: str | None) -> str:
             para = x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and x.linked == 0)
             if not x.dropped and (enough or para or x.tag == best.tag == "article" and x.score > 0):
                 kept.add(id(x))
-    out = []
-    for owner, text in blocks:
-        x, inside, listed = owner, False, False
-        while x is not None:
-            listed = listed or (not inside and id(x) not in kept and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked >= 0.7 * x.chars)
-            if id(x) in kept:
-                inside = True
-                break
-            x = x.parent
-        if inside and not listed:
-            out.append(text)
-    return " ".join(out)
+    for x in nodes:  # parents come before their children
+        if id(x) in kept:
+            x.inside = True
+        elif x.parent is not None:
+            x.inside = x.parent.inside
+            x.listed = x.parent.listed or x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked >= 0.7 * x.chars
+    return " ".join(text for owner, text in blocks if owner.inside and not owner.listed)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds text and n_chars to each row of pages.
 
     A null, empty or textless page gives the empty text and 0. Each page is
-    read whole; every row comes back once, repeated rows too. Columns of pages
-    named text or n_chars are replaced.
+    read whole, in time linear in its length; every row comes back once, repeated rows too; an empty
+    table gives an empty one. Columns of pages named text or n_chars are replaced, others stay.
     """
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
 
