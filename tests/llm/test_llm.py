@@ -554,6 +554,94 @@ def test_chats(spark):
     assert json.loads(made["json"])["tool_calls"][0] == {"arguments": {"a": 1, "b": 2}, "id": "c1", "name": "add"} and '{"a":1,"b":2}' in made["json"]
 
 
+def plain_chats(rows, schemas):
+    """The formatter in plain Python: {(conv, turn, role, text): (n_calls, link, problems, message)}."""
+
+    def parse(text):
+        def once(pairs):
+            if len({k for k, _ in pairs}) < len(pairs):
+                raise ValueError
+            return dict(pairs)
+
+        try:
+            return json.loads(text, object_pairs_hook=once)
+        except ValueError:
+            return ...
+
+    out, ids = {}, {}
+    made = {}
+    for conv, turn, role, text in rows:
+        body = parse(text) if (text or "").lstrip().startswith("{") else ...
+        if not isinstance(body, dict) or not (body.get("tool_calls") or body.get("tool_call_id") is not None):
+            body = {"content": text or ""}
+        own = []
+        for i, c in enumerate(body.get("tool_calls") or []):
+            args = c.get("arguments", c.get("function", {}).get("arguments", {}))
+            args = args if not isinstance(args, str) else args if parse(args) is ... else parse(args)
+            own.append({"arguments": args, "id": c.get("id", f"call_{'null' if turn is None else turn}_{i}"), "name": c.get("name", c.get("function", {}).get("name", ""))})
+            ids.setdefault(conv, set()).add(own[-1]["id"])
+        made[conv, turn, role, text] = body, own
+    kinds = {"integer": int, "number": (int, float), "string": str}
+    for key, (body, own) in made.items():
+        problems = set()
+        for c in own:
+            params = {p: (t, need) for tool, p, t, need in schemas if tool == c["name"]}
+            if not params:
+                problems.add(f"unknown tool {c['name']}")
+            if not isinstance(c["arguments"], dict):
+                problems.add("arguments are not an object")
+            elif params:
+                problems |= {f"missing {p}" for p, (_, need) in params.items() if need and p not in c["arguments"]}
+                problems |= {f"unknown parameter {p}" for p in c["arguments"] if p not in params}
+                problems |= {f"wrong type of {p}" for p, v in c["arguments"].items() if p in params and not isinstance(v, kinds[params[p][0]])}
+        to = body.get("tool_call_id")
+        message = {**body, "content": body.get("content") or "", "role": key[2] or ""}
+        message.pop("tool_calls", None)
+        if own:
+            message["tool_calls"] = own
+        link = "call" if own else "none" if to is None else "result" if to in ids.get(key[0], ()) else "orphan"
+        out[key] = len(own), link, "; ".join(sorted(problems)), message
+    return out
+
+
+def test_chats_match_plain_python(spark):
+    """Every call, result, problem and field, with null turns and ids, ties, repeated rows, bad JSON and extra columns."""
+    rng = random.Random(12)
+    schemas = [("add", "a", "integer", True), ("add", "b", "number", False), ("say", "t", "string", True)]
+    args = [{"a": 1}, {"a": 1, "b": 2.5}, {"b": 2}, {"a": "x", "z": 1}, "{\"a\": 4}", "no json {", '{"a":1,"a":2}', [1, 2], {"t": "h\u00e9 \"q\" \n"}]
+    rows = []
+    for conv in [None, *range(12)]:
+        for i in range(rng.randrange(2, 9)):
+            kind, turn = rng.random(), rng.choice([i, i, i, None])
+            if kind < 0.4:
+                calls = [{"name": rng.choice(["add", "say", "other"]), "arguments": rng.choice(args), **({"id": f"c{rng.randrange(4)}"} if rng.random() < 0.7 else {})} for _ in range(rng.randrange(1, 3))]
+                if rng.random() < 0.3:
+                    calls = [{"id": c.get("id", "f"), "function": {"name": c["name"], "arguments": c["arguments"]}} for c in calls]
+                rows.append((conv, turn, "assistant", json.dumps({"content": rng.choice([None, "hi"]), "tool_calls": calls, **({"zeta": {"b": 1, "a": [1]}, "audio": None} if rng.random() < 0.4 else {})})))
+            elif kind < 0.7:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(5)}", "content": "ok", **({"name": "add"} if rng.random() < 0.5 else {})})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", None]), rng.choice(["plain", "{not json", None, '{"a": 1}'])))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"key": F.lit(1), "problems": F.lit("x"), "calls": F.lit(2)})
+    got = chat.format_chats(df, spark.createDataFrame(schemas, "tool string, param string, type string, required boolean")).collect()
+    want = plain_chats(rows, schemas)
+    canonical = lambda m: json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    mine = sorted((str(r["conv_id"]), str(r["turn"]), r["role"], r["n_calls"], r["link"], r["problems"], canonical(json.loads(r["json"]))) for r in got)
+    assert all(r["json"] == canonical(json.loads(r["json"])) for r in got)
+    assert mine == sorted((str(c), str(t), role or "", n, link, p, canonical(m)) for (c, t, role, _), (n, link, p, m) in ((k, want[k]) for k in rows))
+    for conv in {r["conv_id"] for r in got}:
+        order = [json.loads(r["json"]) for r in sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])]
+        seen = set()
+        known = {c["id"] for m in order for c in m.get("tool_calls", [])}
+        for m in order:
+            seen |= {c["id"] for c in m.get("tool_calls", [])}
+            assert "tool_calls" in m or m.get("tool_call_id") not in known or m["tool_call_id"] in seen
+    assert chat.format_chats(df.limit(0)).count() == 0
+    inferred = {(r["tool"], r["param"]): (r["type"], r["required"]) for r in chat.inferred_schemas(df).collect()}
+    assert inferred["add", "a"][0] == "integer" and set(inferred[t, p][1] for t, p in inferred) <= {True, False}
+
+
 def test_near_copies_of_the_pipeline(spark, tmp_path):
     """Planted copies of Jaccard 0.8 to 1 all leave; a chain joins; pairs under 0.8 stay."""
     import corpus_pipeline

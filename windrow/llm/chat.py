@@ -5,7 +5,8 @@ A turn's text may be a JSON object: {"content", "tool_calls": [{"id", "name",
 {"tool_call_id", "content"} is a result. Any other text is plain content.
 Calls and results meet in a hash join on (conv_id, call id); a result that
 stands before its call is moved behind it; arguments are checked against a
-table of parameters; every message becomes one line of canonical JSON.
+table of parameters, given or inferred from the calls; every message becomes
+one line of canonical JSON, with the further fields of a call or result.
 Messages stay rows, so a conversation of any length is never gathered.
 """
 
@@ -27,8 +28,15 @@ _TYPES = {
 }
 
 
+#: Fields of a message that are written from columns of their own.
+_OWN = ("content", "role", "tool_call_id", "tool_calls")
+
+
 def messages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, calls and result_of for each row; calls without an id get one from their place."""
+    """conv_id, turn, role, content, calls, result_of, more (further fields, as JSON) and message, a key of each row.
+
+    Calls without an id get one from their place. Rows that are equal share a key.
+    """
     parsed = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -38,12 +46,14 @@ def messages(conversations: DataFrame) -> DataFrame:
     made = F.transform(
         F.col("_json.tool_calls"),
         lambda c, i: F.struct(
-            F.coalesce(c["id"], F.concat(F.lit("call_"), F.col("turn").cast("string"), F.lit("_"), i.cast("string"))).alias("id"),
+            F.coalesce(c["id"], F.concat(F.lit("call_"), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("_"), i.cast("string"))).alias("id"),
             F.coalesce(c["name"], c["function"]["name"], F.lit("")).alias("name"),
             F.coalesce(c["arguments"], c["function"]["arguments"], F.lit("{}")).alias("arguments"),
         ),
     )
     linked = F.col("_json.tool_calls").isNotNull() | F.col("_json.tool_call_id").isNotNull()
+    fields = F.map_filter(F.when(linked, F.from_json("text", "map<string,variant>")), lambda k, v: ~k.isin(*_OWN))
+    more = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
     return parsed.select(
         "conv_id",
         "turn",
@@ -51,36 +61,56 @@ def messages(conversations: DataFrame) -> DataFrame:
         F.when(linked, F.coalesce("_json.content", F.lit(""))).otherwise(F.col("text")).alias("content"),
         F.coalesce(made, F.array().cast("array<struct<id:string,name:string,arguments:string>>")).alias("calls"),
         F.col("_json.tool_call_id").alias("result_of"),
+        F.coalesce(more, F.array().cast("array<struct<key:string,json:string>>")).alias("more"),
+        F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256).alias("message"),
     )
 
 
 def calls(rows: DataFrame) -> DataFrame:
-    """One row for each call: conv_id, call_turn, call_no, call_id, tool, arguments as a variant (null if not JSON)."""
+    """One row for each call: conv_id, message, call_turn, call_no, call_id, tool, arguments as a variant (null if not JSON, or if a name comes twice)."""
     return (
         rows.where(F.size("calls") > 0)
-        .select("conv_id", F.col("turn").alias("call_turn"), F.posexplode("calls").alias("call_no", "call"))
-        .select("conv_id", "call_turn", "call_no", F.col("call.id").alias("call_id"), F.col("call.name").alias("tool"), F.try_parse_json("call.arguments").alias("args"))
+        .select("conv_id", "message", F.col("turn").alias("call_turn"), F.posexplode("calls").alias("call_no", "call"))
+        .select("conv_id", "message", "call_turn", "call_no", F.col("call.id").alias("call_id"), F.col("call.name").alias("tool"), F.try_parse_json("call.arguments").alias("args"))
     )
 
 
+def _given(made: DataFrame) -> DataFrame:
+    """(message, call_no, tool, param, kind): the arguments of calls whose arguments are an object."""
+    objects = made.where(F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False)))
+    given = made.sparkSession.sql("SELECT message, call_no, tool, e.key AS param, e.value AS value FROM {objects}, LATERAL variant_explode(args) AS e", objects=objects)
+    return given.select("message", "call_no", "tool", "param", F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("kind"))
+
+
+def inferred_schemas(conversations: DataFrame) -> DataFrame:
+    """(tool, param, type, required) from the calls themselves: the type that most of a parameter's values have (ties: the
+    first by name), required if more than half of the tool's calls give it."""
+    made = calls(messages(conversations))
+    total = made.groupBy("tool").agg(F.count("*").alias("calls"))
+    names = F.create_map(*[F.lit(x) for k in ("BOOLEAN", "ARRAY", "OBJECT", "VOID", "STRING") for x in (k, next(n for n, kinds in _TYPES.items() if k in kinds))])
+    # whole numbers among fractions are numbers
+    typed = _given(made).withColumn("type", F.coalesce(names[F.col("kind")], F.when(F.col("kind") == "BIGINT", "integer").otherwise("number")))
+    counts = typed.groupBy("tool", "param", "type").agg(F.count("*").alias("n"))
+    each = counts.groupBy("tool", "param").agg(F.sum("n").alias("n"), F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"), F.max(F.col("type") == "number").alias("_fractions"))
+    kind = F.when((F.col("type") == "integer") & F.col("_fractions"), "number").otherwise(F.col("type"))
+    return each.join(total, "tool").select("tool", "param", kind.alias("type"), (2 * F.col("n") > F.col("calls")).alias("required"))
+
+
 def check_arguments(made: DataFrame, schemas: DataFrame) -> DataFrame:
     """Adds `problems` (sorted texts, empty if valid) to calls, by schemas (tool, param, type, required).
 
     A problem is: arguments that are no JSON object, an unknown tool, a missing
     required parameter, a value of another type, or an unknown parameter.
     """
-    key = ["conv_id", "call_turn", "call_no"]
-    spark = made.sparkSession
-    schemas = schemas.select(F.col("tool").alias("tool"), "param", "type", F.coalesce("required", F.lit(False)).alias("required")).dropDuplicates(["tool", "param"])
+    key = ["message", "call_no"]
+    schemas = schemas.select(F.coalesce(F.col("tool").cast("string"), F.lit("")).alias("tool"), "param", "type", F.coalesce("required", F.lit(False)).alias("required")).dropDuplicates(["tool", "param"])
     is_object = F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False))
     objects = made.where(is_object)
-    given = spark.sql("SELECT conv_id, call_turn, call_no, tool, e.key AS param, e.value AS value FROM {objects}, LATERAL variant_explode(args) AS e", objects=objects)
-    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
     allowed = F.create_map(*[x for k, v in _TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     tools = schemas.select("tool").distinct().withColumn("known", F.lit(True))
-    given = given.select(*key, "tool", "param", kind.alias("kind")).join(tools, "tool").join(schemas, ["tool", "param"], "left")
+    given = _given(made).join(tools, "tool").join(schemas, ["tool", "param"], "left")
     wrong = given.select(*key, F.when(F.col("type").isNull(), F.concat(F.lit("unknown parameter "), "param")).when(~F.coalesce(F.array_contains(allowed[F.col("type")], F.col("kind")), F.lit(True)), F.concat(F.lit("wrong type of "), "param")).alias("problem")).where("problem is not null")
-    needed = objects.select(*key, "tool").join(schemas.where("required"), "tool").select(*key, "param")
+    needed = objects.select(*key, "tool").join(schemas.where("required and param is not null"), "tool").select(*key, "param")
     missing = needed.join(given.select(*key, "param"), [*key, "param"], "left_anti").select(*key, F.concat(F.lit("missing "), "param").alias("problem"))
     plain = made.where(~is_object).select(*key, F.lit("arguments are not an object").alias("problem"))
     unknown = made.join(tools, "tool", "left_anti").select(*key, F.concat(F.lit("unknown tool "), "tool").alias("problem"))
@@ -95,22 +125,25 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
     their turns (ties: role, then content), but a result never stands before its call.
     link is "call" (makes calls), "result" (its call exists), "orphan" (a result without a call),
     or "none". If a call id comes twice in a conversation, the earliest call counts.
-    Nulls in role and text are empty; null conv_id is a conversation of its own;
-    a null turn comes first. Repeated rows are kept. Without schemas only the
-    JSON of the arguments is checked. Canonical JSON has sorted keys, no
-    spaces, and arguments re-serialised from their parsed values.
+    Nulls in role and text are empty; rows with a null conv_id make one conversation
+    of their own; a null turn comes first; messages of one turn keep their own calls
+    and problems. Repeated rows are kept. Without schemas only the form of the arguments
+    is checked. Canonical JSON has sorted keys, no spaces, and arguments
+    re-serialised from their parsed values; arguments that are no JSON, or name a
+    field twice, are written as a JSON string of their text. Other columns are not read;
+    an empty table gives an empty one.
     """
     rows = messages(conversations)
     made = calls(rows)
     first = made.groupBy("conv_id", "call_id").agg(F.min(F.struct("call_turn", "call_no")).alias("c")).select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("c.call_turn").alias("_turn"), F.col("c.call_no").alias("_no"))
     if schemas is None:
-        bad = made.select("conv_id", "call_turn", F.when(F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("arguments are not an object"))).alias("problems"))
+        bad = made.select("message", F.when(F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("arguments are not an object"))).alias("problems"))
     else:
-        bad = check_arguments(made, schemas).select("conv_id", "call_turn", "problems")
-    bad = bad.groupBy("conv_id", "call_turn").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"))
-    linked = rows.join(first, (F.col("conv_id").eqNullSafe(F.col("_conv"))) & (F.col("result_of") == F.col("_call")), "left")
-    linked = linked.join(bad.select(F.col("conv_id").alias("_c2"), F.col("call_turn").alias("_t2"), "problems"), (F.col("conv_id").eqNullSafe(F.col("_c2"))) & (F.col("turn").eqNullSafe(F.col("_t2"))) & (F.size("calls") > 0), "left")
-    late = F.col("_turn").isNotNull() & (F.col("_turn") >= F.col("turn"))
+        bad = check_arguments(made, schemas).select("message", "problems")
+    bad = bad.groupBy("message").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"))
+    linked = rows.join(first, (F.col("conv_id").eqNullSafe(F.col("_conv"))) & (F.col("result_of") == F.col("_call")), "left").join(bad, "message", "left")
+    found = F.col("_no").isNotNull()
+    late = found & (F.coalesce("_turn", F.lit(-(1 << 63))) >= F.coalesce("turn", F.lit(-(1 << 63))))
     linked = linked.withColumns(
         {
             "_at": F.when(late, F.col("_turn")).otherwise(F.col("turn")),
@@ -118,30 +151,25 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
         }
     )
     order = Window.partitionBy("conv_id").orderBy("_at", "_after", "turn", "role", "content")
-    as_call = lambda c: F.struct(F.to_json(F.coalesce(F.try_parse_json(c["arguments"]), F.try_parse_json(F.lit("null")))).alias("arguments"), c["id"].alias("id"), c["name"].alias("name"))
-    text = F.concat(
-        F.lit('{"content":'),
-        _quoted("content"),
-        F.lit(',"role":'),
-        _quoted("role"),
-        F.when(F.col("result_of").isNotNull(), F.concat(F.lit(',"tool_call_id":'), _quoted("result_of"))).otherwise(""),
-        F.when(
-            F.size("calls") > 0,
-            F.concat(
-                F.lit(',"tool_calls":['),
-                F.array_join(F.transform(F.transform("calls", as_call), lambda c: F.concat(F.lit('{"arguments":'), c["arguments"], F.lit(',"id":'), _quoted(c["id"]), F.lit(',"name":'), _quoted(c["name"]), F.lit("}"))), ","),
-                F.lit("]"),
-            ),
-        ).otherwise(""),
-        F.lit("}"),
+    call = F.transform("calls", lambda c: F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json(c["arguments"])), _quoted(c["arguments"])), F.lit(',"id":'), _quoted(c["id"]), F.lit(',"name":'), _quoted(c["name"]), F.lit("}")))
+    field = lambda name, json: F.struct(F.lit(name).alias("key"), json.alias("json"))
+    fields = F.filter(
+        F.array(
+            field("content", _quoted("content")),
+            field("role", _quoted("role")),
+            field("tool_call_id", F.when(F.col("result_of").isNotNull(), _quoted("result_of"))),
+            field("tool_calls", F.when(F.size("calls") > 0, F.concat(F.lit("["), F.array_join(call, ","), F.lit("]")))),
+        ),
+        lambda e: e["json"].isNotNull(),
     )
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.concat(fields, "more")), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["json"])), ","), F.lit("}"))
     return linked.select(
         "conv_id",
         "turn",
         (F.row_number().over(order) - 1).cast("long").alias("position"),
         "role",
         F.size("calls").cast("long").alias("n_calls"),
-        F.when(F.size("calls") > 0, "call").when(F.col("_turn").isNotNull(), "result").when(F.col("result_of").isNotNull(), "orphan").otherwise("none").alias("link"),
+        F.when(F.size("calls") > 0, "call").when(found, "result").when(F.col("result_of").isNotNull(), "orphan").otherwise("none").alias("link"),
         F.array_join(F.coalesce("problems", F.array().cast("array<string>")), "; ").alias("problems"),
         text.alias("json"),
     )
@@ -154,7 +182,8 @@ def _quoted(value) -> F.Column:
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
-    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_chats(conversations, inferred_schemas(conversations))
 
 
 ORACLE = """
