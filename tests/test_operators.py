@@ -85,7 +85,7 @@ def test_solves_match_numpy(spark):
 
 
 def test_greedy_folds_and_upsert(spark):
-    assert sampling.greedy_folds([(1, 5), (2, 5), (3, 4), (4, 1)], 2) == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert sampling.greedy_folds([(5, 2), (4, 1), (1, 1)], 2) == {5: [(0, 1), (1, 1)], 4: [(0, 1)], 1: [(1, 1)]}
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     got = tables.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "d")]

@@ -57,3 +57,11 @@ def benjamini_hochberg(rows: DataFrame, p: str, *keys: str) -> DataFrame:
 def retention(value, reference, chance: float):
     """(value - chance) / (reference - chance); null where the reference is at chance."""
     return F.when(F.abs(reference - chance) > 1e-12, (value - chance) / (reference - chance))
+
+
+def summary(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: n, accuracy, balanced_accuracy and macro_f1 over the classes that occur as truth."""
+    cells = rows.groupBy(truth, predicted).agg(F.count("*").alias("c"))
+    per = cells.select(F.col(truth).alias("k"), F.col("c").alias("n"), F.when(F.col(truth) == F.col(predicted), F.col("c")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("m")).union(cells.select(F.col(predicted), F.lit(0).cast("long"), F.lit(0).cast("long"), "c"))
+    sums = per.groupBy("k").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.sum("m").alias("m")).where("n > 0")
+    return sums.agg(F.sum("n").alias("n"), (F.sum("tp") / F.sum("n")).alias("accuracy"), F.avg(F.col("tp") / F.col("n")).alias("balanced_accuracy"), F.avg(2 * F.col("tp") / (F.col("n") + F.col("m"))).alias("macro_f1"))

@@ -41,9 +41,17 @@ def centre_arrays(windows: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(windows: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """(key, label, predicted, margin): the class of the nearest mean, ties to the smaller label; margin is the best other d2 less that of the own class."""
-    d = squared_distances(windows.select(key, label, vector), centre_arrays(windows, label, vector), vector, "centre_of")
-    return d.groupBy(key, label).agg(F.min_by("centre_label", F.struct("d2", "centre_label")).alias("predicted"), (F.min(F.when(F.col("centre_label") != F.col(label), F.col("d2"))) - F.min(F.when(F.col("centre_label") == F.col(label), F.col("d2")))).alias("margin"))
+    """(key, label, predicted, margin): the class of the nearest mean, ties to the smaller label; margin is the best other d2 less that of the own class.
+
+    The centres of at most MOST classes (more are an error) go along as one array: each row is scored in place, without a shuffle.
+    """
+    centres = centre_arrays(windows, label, vector).where(F.col("centre_of").isNotNull())
+    count = F.count("*")
+    checked = centres.agg(F.when(count > MOST, F.raise_error(F.lit(f"more than {MOST} classes"))).otherwise(F.collect_list(F.struct("centre_of", "centre"))).alias("_all"))
+    d2 = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
+    scored = windows.select(key, label, vector).where(F.col(vector).isNotNull()).join(F.broadcast(checked)).select(key, label, F.transform("_all", lambda c: F.struct(d2(c["centre"]).alias("d2"), c["centre_of"].alias("c"))).alias("_d"))
+    least = lambda own: F.array_min(F.transform(F.filter("_d", lambda x: (x["c"] == F.col(label)) == own), lambda x: x["d2"]))
+    return scored.select(key, label, F.array_min("_d")["c"].alias("predicted"), (least(F.lit(False)) - least(F.lit(True))).alias("margin"))
 
 
 def decomposition(rows: DataFrame, group: str, value: str, *keys: str) -> DataFrame:
@@ -53,8 +61,16 @@ def decomposition(rows: DataFrame, group: str, value: str, *keys: str) -> DataFr
     return g.withColumn("mu", mean).groupBy(*keys).agg(F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * (F.col("m") - F.col("mu")) * (F.col("m") - F.col("mu"))).alias("between"), F.sum("n").alias("n"))
 
 
+#: Doubles of a sum that travel as one row, and classes whose matrices may reach the driver.
+WIDE, MOST = 64, 10_000
+
+
 def sufficient(windows: DataFrame, vector: str, label: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """n, sum x and sum x x' of each class: summed in each task, then across tasks; one matrix a class reaches the driver."""
+    """n, sum x and sum x x' of each class: summed in each task, then by Spark's sum over rows of WIDE doubles; one matrix a class reaches the driver.
+
+    Rows with a null label, a null vector, or a null, NaN or infinite component are left out; vectors of
+    unlike length are an error, as are more than MOST classes: subjects are not classes.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -65,6 +81,9 @@ def sufficient(windows: DataFrame, vector: str, label: str) -> dict[int, tuple[i
             if not b.num_rows:
                 continue
             y = b.column(0).to_numpy(zero_copy_only=False)
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            if (sizes != sizes[0]).any():
+                raise ValueError("vectors differ in length")
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1)
             for c in np.unique(y).tolist():
                 o = x[y == c]
@@ -72,14 +91,28 @@ def sufficient(windows: DataFrame, vector: str, label: str) -> dict[int, tuple[i
                 t[0] += len(o)
                 t[1] += o.sum(0)
                 t[2] += o.T @ o
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([float(t[0]) for t in total.values()], pa.float64()), pa.array([t[1].tolist() for t in total.values()], pa.list_(pa.float64())), pa.array([t[2].ravel().tolist() for t in total.values()], pa.list_(pa.float64()))], names=["label", "n", "s", "ss"])
-
-    parts = windows.select(F.col(label).cast("long"), vector).mapInArrow(run, "label long, n double, s array<double>, ss array<double>")
-    long = parts.select("label", F.posexplode(F.concat(F.array("n"), "s", "ss")).alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v"))
-    rows = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("a")).collect()
+        for c, (n, s, ss) in total.items():
+            flat = np.concatenate([[float(n), float(len(s))], s, ss.ravel()])
+            rows = -(-len(flat) // WIDE)
+            flat = np.pad(flat, (0, rows * WIDE - len(flat)))
+            flat[1] = len(s) if n else 0
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, c), pa.int64()), pa.array(np.arange(rows, dtype=np.int32)), pa.array(np.ones(rows, np.int64)), pa.array(np.full(rows, len(s)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["label", "i", "parts", "d", "v"])
+
+    bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    good = windows.where(F.col(label).isNotNull() & F.col(vector).isNotNull() & ~bad)
+    parts = good.select(F.col(label).cast("long"), vector).mapInArrow(run, "label long, i int, parts long, d long, v array<double>")
+    sums = parts.groupBy("label", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.array(*[F.sum(F.col("v")[k]) for k in range(WIDE)]).alias("v"))
+    if sums.select("label").distinct().limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} classes")
+    flat: dict[int, dict[int, list[float]]] = {}
+    size: dict[int, int] = {}
+    for r in sums.collect():
+        if r["lo"] != r["hi"] or size.setdefault(r["label"], r["lo"]) != r["lo"] or len(set(size.values())) > 1:
+            raise ValueError("vectors differ in length")
+        flat.setdefault(int(r["label"]), {})[r["i"]] = r["v"]
     out = {}
-    for r in rows:
-        a = np.array(r["a"])
-        d = int(round((-1 + np.sqrt(1 + 4 * (len(a) - 1))) / 2))
-        out[int(r["label"])] = (int(a[0]), a[1 : 1 + d], a[1 + d :].reshape(d, d))
+    for c, rows in flat.items():
+        a, d = np.concatenate([rows[i] for i in sorted(rows)]), size[c]
+        out[c] = (int(a[0]), a[2 : 2 + d], a[2 + d : 2 + d + d * d].reshape(d, d))
     return out

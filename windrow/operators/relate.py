@@ -45,3 +45,126 @@ def eligible(rows: DataFrame, subject: str, task: str, tasks: list[str], least:
     """Subjects with at least `least` rows of every task."""
     counts = rows.where(F.col(task).isin(tasks)).groupBy(subject, task).count().where(F.col("count") >= least)
     return counts.groupBy(subject).agg(F.count("*").alias("n_tasks")).where(F.col("n_tasks") == len(tasks))
+
+
+def selected(rows: DataFrame, column: str, include: list | None = None, exclude: list | None = None) -> DataFrame:
+    """Rows whose value is in include (where given) and not in exclude; both reach the scan as filters."""
+    if include is not None:
+        rows = rows.where(F.col(column).isin(include))
+    return rows.where(~F.col(column).isin(exclude)) if exclude else rows
+
+
+def index_difference(a: DataFrame, b: DataFrame, run: str, key: str, first: int) -> DataFrame:
+    """(run, only_a, only_b, first_a, first_b) of each run that differs: keys of one side only, and the `first` smallest of them."""
+    one = a.select(run, key, F.lit(1).alias("_s")).union(b.select(run, key, F.lit(2).alias("_s"))).groupBy(run, key).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).where("_lo = _hi")
+    rank = F.row_number().over(Window.partitionBy(run, "_lo").orderBy(key))
+    side = lambda s: F.col("_lo") == s
+    counts = one.withColumn("_r", rank).groupBy(run).agg(F.count_if(side(1)).alias("only_a"), F.count_if(side(2)).alias("only_b"), *[F.sort_array(F.collect_list(F.when(side(s) & (F.col("_r") <= first), F.col(key)))).alias(n) for s, n in ((1, "first_a"), (2, "first_b"))])
+    return counts
+
+
+def with_reference(rows: DataFrame, reference: DataFrame, keys: list[str], value: str, chance: float) -> DataFrame:
+    """rows with status (ok, or missing where reference has no such keys) and retention, (value - chance) / (reference - chance)."""
+    ref = reference.select(*keys, F.col(value).alias("_ref"))
+    return rows.join(ref, keys, "left").withColumns({"status": F.when(F.col("_ref").isNull(), "missing").otherwise("ok"), "retention": (F.col(value) - chance) / F.nullif(F.col("_ref") - chance, F.lit(0.0))}).drop("_ref")
+
+
+def composition(rows: DataFrame, group: str, member: str, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b, only_a, only_b, both) of each pair of groups, which are few: members of one, of the other and of both.
+
+    Each member's set of groups makes its pairs, so the members meet nobody else; pairs
+    without a common member come from the list of groups.
+    """
+    own = rows.groupBy(group, member).agg(F.lit(1).alias("_n"))
+    sizes = own.groupBy(group).agg(F.count("*").alias("n"))
+    names = (groups if groups is not None else rows).select(group).distinct().join(sizes, group, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    sets = own.groupBy(member).agg(F.sort_array(F.collect_list(group)).alias("_g"))
+    pairs = sets.select(F.posexplode("_g").alias("_i", "a"), "_g").select("a", F.explode(F.slice("_g", F.col("_i") + 2, F.size("_g"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
+    a, b = names.select(F.col(group).alias("a"), F.col("n").alias("_na")), names.select(F.col(group).alias("b"), F.col("n").alias("_nb"))
+    every = a.join(b, F.col("a") < F.col("b")).join(pairs, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
+    return every.select("a", "b", (F.col("_na") - F.col("both")).alias("only_a"), (F.col("_nb") - F.col("both")).alias("only_b"), "both")
+
+
+def combinations(runs: DataFrame, task: str, replicate: str, tasks) -> DataFrame:
+    """One row for each choice of one replicate of every task (r0, r1, ...): the product of the tasks' few replicates."""
+    out = None
+    for i, t in enumerate(tasks):
+        own = runs.where(F.col(task) == t).select(F.col(replicate).alias(f"r{i}"))
+        out = own if out is None else out.crossJoin(own)
+    return out
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Each left row with the right value nearest in `at` (a whole number), ties to the earlier one, and the gap: one union, two ordered windows, no join."""
+    rest = [c for c in left.columns if c not in (key, at)]
+    r = right.select(key, at, F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_v"), F.lit(0).alias("_side"))
+    rows = left.select(key, at, *rest, F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side")).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(key)
+    before = F.last("_v", ignorenulls=True).over(w.orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_v", ignorenulls=True).over(w.orderBy(F.col(at), F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing))
+    both = rows.withColumns({"_b": before, "_a": after}).where("_side = 1")
+    first = F.col("_a").isNull() | (F.col(at) - F.col("_b.at") <= F.col("_a.at") - F.col(at))
+    pick = F.when(first & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.col("_a"))
+    return both.withColumn("_p", pick).select(key, at, *rest, F.col("_p.v").alias("nearest"), F.abs(F.col(at) - F.col("_p.at")).alias("gap"))
+
+
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, rank, neighbour, distance): the k Euclidean neighbours of each query among all rows but its own key; ties to the smaller key.
+
+    Queries and rows meet in blocks of about `block` vectors, one matrix product for each pair of
+    blocks; each pair keeps the k best of each query, and a window merges them.
+    Rows without a vector, with a null in it or of another length than the query's take no part.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        good = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()) & F.col(key).isNotNull())
+        n = good.count()
+
+        def pack(table: pa.Table) -> pa.Table:
+            flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return pa.table({f"{name}_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), f"{name}_x": pa.array([flat.tobytes()], pa.binary())})
+
+        own = good.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))).alias("b"))
+        return own.groupBy("d", "b").applyInArrow(pack, f"{name}_ids binary, {name}_x binary")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qi, q, ri, r = (np.frombuffer(batch.column(n)[i].as_py(), t) for n, t in (("q_ids", np.int64), ("q_x", np.float64), ("r_ids", np.int64), ("r_x", np.float64)))
+                if len(q) // len(qi) != len(r) // len(ri):
+                    continue
+                q, r = q.reshape(len(qi), -1), r.reshape(len(ri), -1)
+                d2 = np.maximum(0, (q * q).sum(1)[:, None] + (r * r).sum(1)[None] - 2 * q @ r.T)
+                d2[qi[:, None] == ri[None]] = np.inf
+                near = np.argpartition(d2, min(4 * k, len(ri)) - 1, axis=1)[:, : 4 * k] if len(ri) > 4 * k else np.broadcast_to(np.arange(len(ri)), d2.shape)
+                exact = ((q[:, None, :] - r[near]) ** 2).sum(2)  # the product only proposes
+                exact[np.isinf(np.take_along_axis(d2, near, 1))] = np.inf
+                order = np.lexsort((ri[near], exact), axis=1)[:, :k]
+                d = np.take_along_axis(exact, order, 1)
+                ok = np.isfinite(d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], d.shape)[ok]), pa.array(ri[np.take_along_axis(near, order, 1)][ok]), pa.array(np.sqrt(d[ok]))], names=["query_id", "neighbour", "distance"])
+
+    # every block of queries is asked of every block of rows: pairs of blocks, not of rows
+    met = packed(queries, "q").crossJoin(packed(rows, "r"))
+    found = met.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(best, "query_id long, neighbour long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour", "distance")
+
+
+def intrinsic_dimension(near: DataFrame, k: int) -> DataFrame:
+    """(query_id, dimension): the maximum-likelihood dimension 1 / mean(ln(T_k / T_j)) over the k - 1 nearer neighbours of positive distance."""
+    far = F.max(F.when(F.col("rank") == k, F.col("distance"))).over(Window.partitionBy("query_id"))
+    return near.withColumn("_t", far).where((F.col("rank") < k) & (F.col("distance") > 0)).groupBy("query_id").agg((1 / F.avg(F.log(F.col("_t") / F.col("distance")))).alias("dimension"))
+
+
+def neighbour_overlap(near: DataFrame, lag: int, *keys: str) -> DataFrame:
+    """(keys, query_id, jaccard) of each query's neighbours with those of the query `lag` places later in its key, by query_id."""
+    sets = near.groupBy(*keys, "query_id").agg(F.collect_set("neighbour").alias("_n"))
+    later = F.lead("_n", lag).over(Window.partitionBy(*keys).orderBy("query_id"))
+    return sets.withColumn("_l", later).where("_l is not null").select(*keys, "query_id", (F.size(F.array_intersect("_n", "_l")) / F.size(F.array_union("_n", "_l"))).alias("jaccard"))

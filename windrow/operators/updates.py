@@ -61,3 +61,10 @@ def interference(parts: DataFrame, module: str, task: str, share: float) -> Data
     kind = parts.schema[module].dataType.simpleString()
     out = parts.select(F.col(module).alias("_module"), F.col(task).alias("_task"), "k", "sigma", "u", "v").groupBy("_module").applyInPandas(one, f"_module {kind}, n_tasks int, k int, interference double")
     return out.withColumnRenamed("_module", module)
+
+
+def moved(rows: DataFrame, vector: str, base: str) -> DataFrame:
+    """Adds moved: |vector - base| / |base|; null where the base is zero."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    size = norm(F.transform(base, lambda v: v.cast("double")))
+    return rows.withColumn("moved", norm(F.zip_with(vector, base, lambda a, b: a.cast("double") - b.cast("double"))) / F.nullif(size, F.lit(0.0)))

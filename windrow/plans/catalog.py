@@ -7,48 +7,23 @@ bindings are synthetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import align, metrics, moments, paired, readout, relate, sampling, sequence, updates
 from ..sources import tables
+from .registry import CENTRED as _C
+from .registry import LONG as _X
+from .registry import ORACLES, QUERIES, query
+from .registry import POSITIONS as _T
+from .registry import events as _events
+from .registry import rounded as _r
+from .registry import samples as _samples
+from .registry import windows as _windows
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "nearest_centroid_recall"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _r(column, digits: int = 6):
-    return F.round(column, digits)
-
-
-def _events(spark, sf_dir) -> DataFrame:
-    return tables.events(spark, sf_dir)
-
-
-def _samples(spark, sf_dir) -> DataFrame:
-    return sequence.positions(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"])
-
-
-def _windows(spark, sf_dir) -> DataFrame:
-    return tables.scan(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-
-
-_T = "t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events)"
-_X = "x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
-_C = f"{_X}, c AS (SELECT label AS cl, dim, avg(v) AS m FROM x GROUP BY 1, 2), d AS (SELECT vec_id, label, cl, sum((v - m) * (v - m)) AS d2 FROM x JOIN c USING (dim) GROUP BY 1, 2, 3), p AS (SELECT vec_id, label, arg_min(cl, d2) AS predicted, min(d2) FILTER (WHERE cl <> label) - min(d2) FILTER (WHERE cl = label) AS margin FROM d GROUP BY 1, 2)"
-
-
 # scans and labels
 
 
@@ -488,3 +463,8 @@ def task_interference(spark, sf_dir):
     u = _updates(spark, sf_dir)
     parts = updates.components(u, "vec_id", 8, 8, "embedding").select("*", F.floor(F.col("vec_id") / 4).alias("module"), (F.col("vec_id") % 4).alias("task"))
     return updates.interference(parts, "module", "task", 0.25).withColumn("interference", _r("interference"))
+
+
+from . import contracts, curves, spaces  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

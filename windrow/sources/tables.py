@@ -51,3 +51,17 @@ def write_table(df: DataFrame, path: str, *partitions: str) -> None:
 def quiet(column: Column) -> Column:
     """NaN as null, so that aggregates skip it."""
     return F.when(~F.isnan(column), column)
+
+
+def number(column: Column) -> Column:
+    """Text as a double; empty or other text is null."""
+    return F.nullif(column, F.lit("")).try_cast("double")
+
+
+def union_sources(sources: list[tuple[str, DataFrame, list[int]]], vector: str, out: str) -> DataFrame:
+    """The rows of several sources with the components that each one's montage names, in its order, and the source's name in `out`."""
+    parts = [df.withColumn(vector, F.transform(F.array(*map(F.lit, montage)), lambda i: F.get(F.col(vector), i))).withColumn(out, F.lit(name)) for name, df, montage in sources]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole
