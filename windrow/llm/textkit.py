@@ -201,11 +201,17 @@ def parts(spark: SparkSession, size: int, most: int, least: int = 48) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder that the session names."""
+    """Cut lineage with a checkpoint in the shared folder that the session names; the shuffle files before it go."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
