@@ -716,3 +716,24 @@ def test_oracles(spark):
         order = sorted(got.columns)
         assert sorted(map(tuple, got.select(*order).collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(order)} FROM ({sql})").fetchall(), key=str)
     assert {f.name for f in queries.QUERIES["op10_chat"](spark, SF).schema} and F
+
+
+def test_chained_links_keep_both_sides():
+    from windrow.llm import passages
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for doc, other in ((5, 1), (5, 2), (9, 1)):
+        for shift in (-40, 0, 7, 300):
+            start = rng.integers(400, 900, 60)
+            drift = rng.integers(0, 5, 60)
+            rows.append(np.stack([np.full(60, doc), start, start + rng.integers(45, 95, 60), np.full(60, other), start + shift + drift, start + shift + drift + rng.integers(45, 95, 60)]))
+    links = np.hstack(rows).astype(np.int64)
+    out = passages._chained(links)
+    assert out.shape[1] < links.shape[1] / 4
+
+    def held(x, side):
+        return {(d, o, w) for d, s, e, o, t, u in x.T.tolist() for w in range(*((s, e) if side else (t, u)))}
+
+    assert held(out, True) == held(links, True) and held(out, False) == held(links, False)
+    assert passages._chained(links[:, :0]).shape == (6, 0)
