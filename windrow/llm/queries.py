@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity
+from . import centroids, chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
+    "op11_centroids": centroids.op11_centroids,
 }
-ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op11_centroids": centroids.ORACLE}

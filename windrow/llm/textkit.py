@@ -224,6 +224,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this library wrote and that no later step reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a batch that a Python worker is sent where the session leaves Spark's default: whole texts are long.
 BATCH_ROWS = "500"
 
