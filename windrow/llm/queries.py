@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity
+from . import centroids, chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity, trie
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
     "op11_centroids": centroids.op11_centroids,
+    "op12_trie": trie.op12_trie,
 }
-ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op11_centroids": centroids.ORACLE}
+ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op11_centroids": centroids.ORACLE, "op12_trie": trie.ORACLE}
