@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity, trie
+from . import centroids, chat, decontaminate, html_text, packing, passages, quality, simhash, suffix_dedup, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_centroids": centroids.op11_centroids,
     "op12_trie": trie.op12_trie,
+    "op13_warc": warc.op13_warc,
 }
-ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op11_centroids": centroids.ORACLE, "op12_trie": trie.ORACLE}
+ORACLES = {"op5_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op11_centroids": centroids.ORACLE, "op12_trie": trie.ORACLE, "op13_warc": warc.ORACLE}
