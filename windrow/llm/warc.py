@@ -45,12 +45,14 @@ def with_types(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_co
     each = keyed.where(F.col("size") >= least).groupBy("payload", "sha1", "size", "page_id", "url").agg(F.count("*").alias("n"))
     top = each.groupBy("payload", "sha1", "size").agg(F.max(F.struct("page_id", "url", "n")).alias("top"))
     first = F.col("top.page_id").eqNullSafe(F.col("page_id")) & F.col("top.url").eqNullSafe(F.col("url"))
-    held = record(F.col("top.page_id"), F.col("top.url"), F.lit(0))
+    held = record(F.col("top.page_id"), F.col("top.url"), F.lit(0).cast("long"))
     columns = ["page_id", "url", "html", "kind", "sha1", "size", "record", "refers"]
 
     def typed(rows: DataFrame) -> DataFrame:
         revisit = F.col("top").isNotNull() & ~first
-        return rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, "revisit").otherwise("response").alias("kind"), "sha1", "size", record(F.col("page_id"), F.col("url"), F.lit(0)).alias("record"), F.when(revisit, held).alias("refers"))
+        # only a response that others may name needs an id that follows from its row
+        copy = F.when(F.col("top").isNotNull() & first, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1)
+        return rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, "revisit").otherwise("response").alias("kind"), "sha1", "size", record(F.col("page_id"), F.col("url"), copy).alias("record"), F.when(revisit, held).alias("refers"))
 
     many = cut(top.where("top.n > 1"))  # equal rows at the top: one is the response, the others are written from their count
     joined = keyed.join(top.select("payload", "top").hint("shuffle_hash"), "payload", "left")
