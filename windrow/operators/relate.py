@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from . import metric
+from .sums import finite
+
 
 def ledger_difference(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row for each column: rows that differ, by a full outer join on the key, and rows of one side only."""
@@ -108,53 +112,38 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str) ->
     return both.withColumn("_p", pick).select(key, at, *rest, F.col("_p.v").alias("nearest"), F.abs(F.col(at) - F.col("_p.at")).alias("gap"))
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, page: int = metric.PAGE, counted=None) -> DataFrame:
     """(query_id, rank, neighbour, distance): the k Euclidean neighbours of each query among all rows but its own key; ties to the smaller key.
 
-    Queries and rows meet in blocks of about `block` vectors, one matrix product for each pair of
-    blocks; each pair keeps the k best of each query, and a window merges them.
-    Rows without a vector, with a null in it or of another length than the query's take no part.
+    Exact, by a metric index of the rows (see `metric`): what its bounds put beyond a query's k-th best so far is not compared.
+    Rows without a key or vector, with a null, NaN or infinite component, or of another length than the query's take no part; of
+    rows of one key the smallest vector does. Vectors of each length, of which there may be a few, have an index of their own.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    spark = rows.sparkSession
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        good = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()) & F.col(key).isNotNull())
-        n = good.count()
-
-        def pack(table: pa.Table) -> pa.Table:
-            flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return pa.table({f"{name}_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), f"{name}_x": pa.array([flat.tobytes()], pa.binary())})
-
-        own = good.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block)))).alias("b"))
-        return own.groupBy("d", "b").applyInArrow(pack, f"{name}_ids binary, {name}_x binary")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qi, q, ri, r = (np.frombuffer(batch.column(n)[i].as_py(), t) for n, t in (("q_ids", np.int64), ("q_x", np.float64), ("r_ids", np.int64), ("r_x", np.float64)))
-                if len(q) // len(qi) != len(r) // len(ri):
-                    continue
-                q, r = q.reshape(len(qi), -1), r.reshape(len(ri), -1)
-                d2 = np.maximum(0, (q * q).sum(1)[:, None] + (r * r).sum(1)[None] - 2 * q @ r.T)
-                d2[qi[:, None] == ri[None]] = np.inf
-                near = np.argpartition(d2, min(4 * k, len(ri)) - 1, axis=1)[:, : 4 * k] if len(ri) > 4 * k else np.broadcast_to(np.arange(len(ri)), d2.shape)
-                exact = ((q[:, None, :] - r[near]) ** 2).sum(2)  # the product only proposes
-                exact[np.isinf(np.take_along_axis(d2, near, 1))] = np.inf
-                order = np.lexsort((ri[near], exact), axis=1)[:, :k]
-                d = np.take_along_axis(exact, order, 1)
-                ok = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], d.shape)[ok]), pa.array(ri[np.take_along_axis(near, order, 1)][ok]), pa.array(np.sqrt(d[ok]))], names=["query_id", "neighbour", "distance"])
-
-    # every block of queries is asked of every block of rows: pairs of blocks, not of rows
-    met = packed(queries, "q").crossJoin(packed(rows, "r"))
-    found = met.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(best, "query_id long, neighbour long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour", "distance")
+
+    def clean(df: DataFrame) -> DataFrame:
+        good = df.where(finite(vector) & F.col(key).isNotNull())
+        return scratch.kept(good.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).groupBy("id").agg(F.min("x").alias("x")))
+
+    every, asked = clean(rows), clean(queries)
+    lengths = [r[0] for r in asked.select(F.size("x")).distinct().limit(65).collect()]
+    if len(lengths) > 64:
+        raise ValueError("the queries have vectors of more than 64 lengths")
+    norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
+    out = []
+    for d in sorted(lengths):
+        mine, own = asked.where(F.size("x") == d), every.where(F.size("x") == d)
+        top = own.agg(F.max(norm).alias("b")).first()["b"]
+        if top is None or not d:
+            continue
+        far = mine.agg(F.max(norm).alias("b")).first()["b"]
+        index = metric.indexed(scratch.kept(metric.firsts_of_copies(own, k + 1)), d, scratch.kept, None, 1 + max(top, far) ** 0.5, page)
+        out.append(metric.nearest(index, mine, k, counted=counted))
+    if not out:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, neighbour long, distance double")
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return found.select("query_id", "rank", F.col("id").alias("neighbour"), F.sqrt("score").alias("distance"))
 
 
 def intrinsic_dimension(near: DataFrame, k: int) -> DataFrame:

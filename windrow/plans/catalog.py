@@ -465,6 +465,6 @@ def task_interference(spark, sf_dir):
     return updates.interference(parts, "module", "task", 0.25).withColumn("interference", _r("interference"))
 
 
-from . import contracts, curves, spaces  # noqa: E402, F401  (they register their queries)
+from . import contracts, curves, reducers, spaces  # noqa: E402, F401  (they register their queries)
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
