@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return rows.groupBy(truth, predicted).agg(F.count("*").alias("n"))
@@ -23,17 +25,17 @@ def balanced_accuracy(rows: DataFrame, truth: str, predicted: str, *keys: str, c
 
 
 def average_ranks(rows: DataFrame, score: str, *keys: str) -> DataFrame:
-    """rank: ties share the mean of their ranks. Counts meet first, so equal scores are one row in the window."""
+    """rank: ties share the mean of their ranks. Equal scores are one row with their count, and running counts come from ranges of scores."""
     counts = rows.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.withColumn("rank", before + (F.col("_n") + 1) / 2).drop("_n"), [*keys, score])
+    before = ranks.running_sums(counts, list(keys), [score], _before=F.col("_n"))
+    return rows.join(before.select(*keys, score, (F.col("_before") + (F.col("_n") + 1) / 2).alias("rank")), [*keys, score])
 
 
 def auc(rows: DataFrame, score: str, positive: str, *keys: str) -> DataFrame:
     """Rank AUC of a boolean; null if a side is empty."""
     counts = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("r", (before + (F.col("n") + 1) / 2) * F.col("p")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = ranks.running_sums(counts, list(keys), [score], _before=F.col("n"))
+    sums = before.withColumn("r", (F.col("_before") + (F.col("n") + 1) / 2) * F.col("p")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     q = F.col("n") - F.col("p")
     return sums.select(*keys, F.when((F.col("p") > 0) & (q > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * q)).alias("auc"))
 
@@ -45,13 +47,18 @@ def empirical_p(rows: DataFrame, real: str, null: str, *keys: str) -> DataFrame:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, *keys: str) -> DataFrame:
-    """q: step-up adjusted p over the valid ones; null and NaN stay null."""
+    """q: step-up adjusted p over the valid ones; null and NaN stay null.
+
+    Equal p are one row with their count; ranks are running counts, and the least value from above runs the other way.
+    """
     valid = F.col(p).isNotNull() & ~F.isnan(p)
-    w = Window.partitionBy(*keys, valid)
-    m, rank = F.count("*").over(w), F.count("*").over(w.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
-    raw = rows.withColumn("_q", F.when(valid, F.col(p) * m / rank))
-    least = F.min("_q").over(w.orderBy(p).rowsBetween(0, Window.unboundedFollowing))
-    return raw.withColumn("q", F.when(valid, F.least(F.lit(1.0), least))).drop("_q")
+    counts = rows.where(valid).groupBy(*keys, p).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    ranked = ranks.running_sums(counts, list(keys), [p], _before=F.col("_n"))
+    ranked = ranked.join(total, list(keys)) if keys else ranked.join(F.broadcast(total))  # without keys one row
+    raw = ranked.withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.col("_n"))).select(*keys, p, "_q")
+    least = ranks.running_least(raw, list(keys), [p], True, _later=F.col("_q")).select(*keys, p, F.least(F.lit(1.0), "_q", "_later").alias("q"))
+    return rows.join(least, [*keys, p], "left")
 
 
 def retention(value, reference, chance: float):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def digest(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
@@ -12,10 +14,15 @@ def digest(seed: str, *columns: str) -> Column:
 
 def stratified_split(rows: DataFrame, key: str, strata: list[str], fraction: float, seed: str = "0") -> DataFrame:
     """is_test: in each stratum max(1, min(round(f n), n - 1)) rows by digest; a stratum of one row stays in train."""
-    w = Window.partitionBy(*strata)
-    n = F.count("*").over(w)
+    named = rows.withColumn("_d", digest(seed, key))
+    placed = ranks.places(named, strata, ["_d", key], "_r").drop("_d")
+    sizes = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in strata]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    n = F.col("_n")
     test = F.when(n > 1, F.greatest(F.lit(1), F.least(F.bround(n * fraction, 0), n - 1))).otherwise(0)
-    return rows.withColumn("is_test", F.row_number().over(w.orderBy(digest(seed, key), key)) <= test)
+    return placed.join(sizes, same).select(*rows.columns, (F.col("_r") < test).alias("is_test"))
 
 
 def balanced_cap(rows: DataFrame, key: str, cell: list[str], most: int, seed: str = "0") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, metrics, moments, paired, readout, relate, sampling, sequence, updates
+from ..operators import align, metrics, moments, paired, ranks, readout, relate, sampling, sequence, updates
 from ..sources import tables
 from .registry import CENTRED as _C
 from .registry import LONG as _X
@@ -141,14 +141,16 @@ def counts_with_zero_cells(spark, sf_dir):
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END, 6) AS sem, round(median(value), 6) AS median, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1")
 def summary_statistics(spark, sf_dir):
-    n = F.count("value")
-    return _events(spark, sf_dir).withColumn("value", tables.quiet(F.col("value"))).groupBy("event_type").agg(n.alias("n"), _r(F.avg("value")).alias("mean"), _r(F.stddev_samp("value")).alias("std"), _r(F.when(n > 1, F.stddev_samp("value") / F.sqrt(n)).otherwise(0.0)).alias("sem"), _r(F.median("value")).alias("median"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    n, e = F.count("value"), _events(spark, sf_dir).withColumn("value", tables.quiet(F.col("value")))
+    sums = e.groupBy("event_type").agg(n.alias("n"), _r(F.avg("value")).alias("mean"), _r(F.stddev_samp("value")).alias("std"), _r(F.when(n > 1, F.stddev_samp("value") / F.sqrt(n)).otherwise(0.0)).alias("sem"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    middle = ranks.percentiles(e, ["event_type"], "value", [0.5]).select(F.col("event_type").alias("_k"), _r("p0").alias("median"))
+    return sums.join(middle, F.col("event_type").eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.01), 6) AS q01, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(quantile_cont(value, 0.99), 6) AS q99 FROM events GROUP BY 1")
 def quantile_summary(spark, sf_dir):
-    q = lambda p: _r(F.percentile("value", p))
-    return _events(spark, sf_dir).groupBy("event_type").agg(q(0.01).alias("q01"), q(0.5).alias("q50"), q(0.95).alias("q95"), q(0.99).alias("q99"))
+    p = ranks.percentiles(_events(spark, sf_dir), ["event_type"], "value", [0.01, 0.5, 0.95, 0.99])
+    return p.select("event_type", *[_r(f"p{i}").alias(n) for i, n in enumerate(("q01", "q50", "q95", "q99"))])
 
 
 @query(f"WITH {_X} SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n FROM x GROUP BY 1, 2")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, metrics, moments, readout, spaces, updates
+from ..operators import align, metrics, moments, ranks, readout, spaces, updates
 from ..sources import tables
 from .registry import LONG, events, query, rounded, windows
 
@@ -198,7 +198,8 @@ def between_class_null(spark, sf_dir):
     w = windows(spark, sf_dir)
     real = w.select("vec_id", "label", F.lit(0).alias("draw"))
     every = w.select("vec_id", "label", F.explode(F.sequence(F.lit(1), F.lit(_DRAWS))).alias("draw"))
-    own = every.withColumns({"_i": F.row_number().over(Window.partitionBy("draw").orderBy("vec_id")), "_j": F.row_number().over(Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("vec_id").cast("string"))), "vec_id"))})
+    every = every.withColumn("_h", F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("vec_id").cast("string"))))
+    own = ranks.places(ranks.places(every, ["draw"], ["vec_id"], "_i"), ["draw"], ["_h", "vec_id"], "_j")
     given = own.select("draw", F.col("_i").alias("_j"), "label")
     labels = real.union(own.select("draw", "vec_id", "_j").join(given, ["draw", "_j"]).select("vec_id", "label", "draw"))
     x = tables.long_form(w.select("vec_id", "embedding")).join(labels, "vec_id")
