@@ -1,168 +1,55 @@
-"""Exact top-k inner products over an M-tree: routing nodes, pages, covering radii and stored parent distances.
+"""Exact top-k inner products over an M-tree, visited best first.
 
 Inner products become distances: with B the largest norm, a vector x gets one
 coordinate more, sqrt(B^2 - |x|^2), and a query the coordinate 0; then
 |q - x|^2 = |q|^2 + B^2 - 2 q.x, so the nearest are those of highest product.
-A bounded sample of pivots routes every vector to a node; a node's vectors lie
-in pages with a pivot, a covering radius and each entry's distance to the
-pivot. A query first searches its nearest node, which bounds its k-th distance,
-then every other node and page whose ball may hold something nearer; entries
-that the triangle inequality rules out are never compared.
+`operators.metric` holds the tree: super nodes, nodes and pages with covering
+radii, stored parent distances and entries sorted by their distance to the
+page's centre. A query visits nodes in the order of their bounds, in rounds
+that grow fourfold; each round tightens the distance of its k-th best, and
+what the triangle inequality puts beyond that is never compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut, given_back
-
-#: Routing nodes (a bounded sample of the vectors), vectors in a page, queries in a block.
-NODES, PAGE, QUERIES = 64, 1024, 512
-#: Slack for rounding in bounds; scores themselves are exact integers.
-SLACK = 1e-6
+from ..operators import metric
+from .textkit import cut
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v array<double>): floor(256 x) for each component; rows whose vector is null, empty or has a null or non-finite component go."""
+    """(id, v array<double>): floor(256 x) for each component, which a double holds exactly; rows whose id or vector is null, or with a null or non-finite component, go."""
     x = F.col(vector_col)
-    whole = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256).cast("double")).alias("v"))
-
-
-def _rows(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of `dim` doubles; a shorter vector counts as padded with zeros."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if (lengths == dim).all():
-        return flat.reshape(-1, dim)
-    out = np.zeros((len(column), dim))
-    out[np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else []] = flat
-    return out
-
-
-def _lift(x: np.ndarray, bound: float) -> np.ndarray:
-    return np.hstack([x, np.sqrt(np.maximum(0, bound - (x * x).sum(1)))[:, None]])
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
+    whole = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    # the floor of a double beyond 2^53 is the double itself
+    floor = lambda c: F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
+    return vectors.where(F.col(id_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: floor(c.cast("double") * 256)).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, nodes: int = NODES, page: int = PAGE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, page: int = metric.PAGE, pivots: int = metric.PIVOTS, counted=None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with all vectors but its own id.
 
     vectors and queries are (id, v) as integer_vectors gives them. Ties go to the
     smaller id; with fewer than k candidates all are returned; repeated rows of
-    one id count once (the first vector in order). No vectors or no queries: an empty table.
+    one id count once (the first vector in order). An empty vector, or one shorter than the longest, is filled up
+    with zeros. Scores are exact at any size of the components; one beyond 64 bits is an error. Other columns are not read, vectors
+    of any length are whole. No vectors or no queries: an empty table. `counted`, an accumulator, gets the number of products computed.
     """
     spark = vectors.sparkSession
-    vectors = cut(vectors.groupBy("id").agg(F.min("v").alias("v")))
-    queries = cut(queries.groupBy("id").agg(F.min("v").alias("v")))
+    vectors = vectors.groupBy("id").agg(F.min("v").alias("v"))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    s = vectors.union(queries).agg(F.max(norm).alias("b"), F.max(F.size("v")).alias("d")).first()
-    n = vectors.count()
-    if not n:
+    held = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("b"), F.max(F.size("v")).alias("d")).first()
+    longest = queries.agg(F.max(F.size("v")).alias("d")).first()["d"]
+    if not held["n"] or longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bound, dim = float(s["b"]), int(s["d"])
-    sample = vectors.orderBy(F.xxhash64("id")).limit(nodes).collect()  # `nodes` rows
-    pivots = np.zeros((len(sample), dim))
-    for i, r in enumerate(sample):
-        pivots[i, : len(r["v"])] = r["v"]
-    pivots = np.unique(_lift(pivots, bound), axis=0)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = _distances(_lift(_rows(batch.column(1), dim), bound), pivots)
-                node = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), pa.array(d[np.arange(len(d)), node]), batch.column(0), batch.column(1)], names=["node", "far", "id", "v"])
-
-    placed = vectors.mapInArrow(given_back(assign), "node int, far double, id long, v array<double>")
-    sizes = {r["node"]: (r["n"], r["r"]) for r in placed.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}  # at most `nodes` rows
-    radius = np.array([sizes.get(i, (0, -1.0))[1] for i in range(len(pivots))])
-    count = np.array([sizes.get(i, (0, 0))[0] for i in range(len(pivots))])
-    share = np.maximum(1, -(-count // page))
-    shares = F.array(*[F.lit(int(x)) for x in share])
-    # pages of a node: its vectors by distance from the pivot, in as many salted shares as its size asks for
-    salted = placed.withColumn("slot", F.pmod(F.xxhash64("id"), F.element_at(shares, F.col("node") + 1).cast("long")).cast("int"))
-
-    def build(table: pa.Table) -> pa.Table:
-        v, ids = _rows(table.column("v").combine_chunks(), dim), table.column("id").to_numpy()
-        lifted = _lift(v, bound)
-        centre = lifted[np.argmin(table.column("far").to_numpy())]
-        d = _distances(lifted, centre[None])[:, 0]
-        order = np.lexsort((ids, d))
-        blob = [centre.tobytes(), d[order].tobytes(), ids[order].tobytes(), v[order].tobytes()]
-        return pa.table({"node": table.column("node")[:1], "slot": table.column("slot")[:1], "radius": [float(d.max())], **{n: pa.array([b], pa.binary()) for n, b in zip(("centre", "far", "ids", "vs"), blob, strict=True)}})
-
-    pages = cut(salted.groupBy("node", "slot").applyInArrow(given_back(build), "node int, slot int, radius double, centre binary, far binary, ids binary, vs binary"))
-
-    def visits(first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, QUERIES):
-                    part = batch.slice(at, QUERIES)
-                    ids, q = part.column(0).to_numpy(), _rows(part.column(1), dim)
-                    d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
-                    d[:, count == 0] = np.inf
-                    home = d.argmin(1)
-                    if first:
-                        go = np.zeros(d.shape, bool)
-                        go[np.arange(len(d)), home] = True
-                        limit = np.full(len(d), np.inf)
-                    else:
-                        limit = part.column(2).fill_null(np.inf).to_numpy(zero_copy_only=False)
-                        go = (d - radius[None, :] <= limit[:, None] * (1 + SLACK) + SLACK) & (count > 0)
-                        go[np.arange(len(d)), home] = False
-                    out = []
-                    for node in np.flatnonzero(go.any(0)).tolist():
-                        own = go[:, node]
-                        for slot in range(int(share[node])):
-                            out.append((node, slot, ids[own].tobytes(), q[own].tobytes(), limit[own].tobytes()))
-                    columns = list(zip(*out, strict=True)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["node", "slot", "qids", "qs", "limits"])
-
-        return run
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for r in batch.to_pylist():
-                qids, limit = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["limits"])
-                q, ids, far = np.frombuffer(r["qs"]).reshape(-1, dim), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["far"])
-                v = np.frombuffer(r["vs"]).reshape(-1, dim)
-                to = _distances(np.hstack([q, np.zeros((len(q), 1))]), np.frombuffer(r["centre"])[None])[:, 0]
-                slack = limit * (1 + SLACK) + SLACK
-                for i in np.flatnonzero(to - r["radius"] <= slack).tolist():
-                    # entries are sorted by distance to the pivot: |d(q, p) - d(x, p)| bounds d(q, x)
-                    a, b = np.searchsorted(far, to[i] - slack[i], "left"), np.searchsorted(far, to[i] + slack[i], "right")
-                    score = v[a:b] @ q[i]
-                    own = ids[a:b]
-                    keep = own != qids[i]
-                    score, own = score[keep], own[keep]
-                    if len(score) > k:  # with all that tie with the k-th
-                        enough = score >= np.partition(score, -k)[-k]
-                        score, own = score[enough], own[enough]
-                        best = np.lexsort((own, -score))[:k]
-                        score, own = score[best], own[best]
-                    out.append((np.full(len(own), qids[i]), own, score.astype(np.int64)))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-    schema = "node int, slot int, qids binary, qs binary, limits binary"
-    found = "query_id long, vec_id long, score long"
-    near = cut(queries.mapInArrow(given_back(visits(True)), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(given_back(search), found))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    # the k-th score so far, as a distance; without k candidates there is no bound yet
-    kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), "score")
-    limited = queries.join(kth, "id", "left").select("id", "v", F.when(F.col("score").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(bound) - 2 * F.col("score")))).alias("limit"))
-    rest = limited.mapInArrow(given_back(visits(False)), schema).join(pages, ["node", "slot"]).select("qids", "qs", "limits", "radius", "centre", "far", "ids", "vs").mapInArrow(given_back(search), found)
-    return near.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dim, bound = max(1, held["d"], longest), float(held["b"])
+    full = lambda df: cut(df.select("id", F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v"))).alias("x")))
+    # of equal vectors only the k + 1 of smallest id can be among anyone's k best
+    index = metric.indexed(cut(metric.firsts_of_copies(full(vectors), k + 1)), dim, cut, bound, 1 + bound**0.5, page, pivots)
+    return metric.nearest(index, full(queries), k, product=True, counted=counted).withColumnRenamed("id", "vec_id")
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:
@@ -174,7 +61,7 @@ ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
