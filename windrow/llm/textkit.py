@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import inspect
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -230,6 +231,28 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Tables of one run in a folder of its own in the shared folder.
+
+    A table read from files has its files' size, where a checkpoint has the product of the sizes of all that was joined to make it: in
+    many rounds of joins that number alone fills the driver.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.held = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """df, written once and read again; one with a name stays when `clear` is called."""
+        path = f"{self.folder}/{name}" if name else f"{self.folder}/steps/{self.held}"
+        self.held += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables without a name; what was read from them must have been kept under one."""
+        removed(self.spark, f"{self.folder}/steps")
+
+
 #: Rows of a batch that a Python worker is sent where the session leaves Spark's default: whole texts are long.
 BATCH_ROWS = "500"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import cut, given_back
+from .textkit import Tables, given_back
 
 #: Equal turns of a conversation, or ids of a node's text, that stand in one row on the way.
 BLOCK = 4096
@@ -28,7 +28,7 @@ def crc32(column: Column) -> Column:
     return F.crc32(column.cast("string"))
 
 
-def numbered_turns(conversations: DataFrame) -> DataFrame:
+def numbered_turns(conversations: DataFrame, tables: Tables) -> DataFrame:
     """(conv_id, pos, turn_key, n_chars): each conversation's turns from 0 on, by turn (null first), then role and text.
 
     Null role and text are empty, rows without a conv_id have no conversation. Positions come from a range partitioning of all
@@ -46,7 +46,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     )
     order = ["conv_id", "turn", "_role", "turn_key"]
     some = turns.groupBy(*order, "n_chars").count()
-    placed = cut(some.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id()))
+    placed = tables.keep(some.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.groupBy("conv_id", "_part").agg(F.sum("count").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("conv_id", "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order[1:]]).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +54,10 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     start = at.select("conv_id", "turn_key", "n_chars", "count", (F.col("_base") + F.col("_at")).alias("_start"))
     blocks = start.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(BLOCK).cast("long"))))
     each = blocks.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("count"), F.col("_from") + BLOCK) - 1)))
-    return each.select("conv_id", (F.col("_start") + F.col("_i")).alias("pos"), "turn_key", "n_chars")
+    return tables.keep(each.select("conv_id", (F.col("_start") + F.col("_i")).alias("pos"), "turn_key", "n_chars"))
 
 
-def rebuilt(turns: DataFrame, conversations: DataFrame, bundle: int, most: int) -> tuple[DataFrame, DataFrame]:
+def rebuilt(turns: DataFrame, conversations: DataFrame, bundle: int, most: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Turns (as numbered_turns) of rebuilt conversations, and (conv_id, length) of all of them, turnless ones too.
 
     Conversation c starts with the first h turns of c - c % bundle, h = crc32(c) % most, and goes on with its own after its first h.
@@ -70,14 +70,14 @@ def rebuilt(turns: DataFrame, conversations: DataFrame, bundle: int, most: int)
     # a conversation's own turns move by one number: join it to each turn from the small table of ids
     shift = ids.join(given, "conv_id", "left").select("conv_id", "h", (F.coalesce("given", F.lit(0)) - F.col("h")).alias("shift"))
     own = turns.join(shift, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") + F.col("shift")).alias("pos"), "turn_key", "n_chars")
-    all_turns = cut(opening.union(own))
+    all_turns = tables.keep(opening.union(own))
     lengths = ids.select("conv_id").join(all_turns.groupBy("conv_id").agg(F.count("*").alias("length")), "conv_id", "left").select("conv_id", F.coalesce("length", F.lit(0)).alias("length"))
-    return all_turns, cut(lengths)
+    return all_turns, tables.keep(lengths, "lengths")
 
 
-def dense_names(rows: DataFrame, keys: list[str], base: int = 1) -> tuple[DataFrame, int]:
+def dense_names(rows: DataFrame, keys: list[str], tables: Tables, base: int = 1) -> tuple[DataFrame, int]:
     """Distinct keys with `name`, numbers from base on without a gap, and the next free number; one count a partition reaches the driver."""
-    distinct = cut(rows.select(*keys).distinct().withColumn("_m", F.monotonically_increasing_id()))
+    distinct = tables.keep(rows.select(*keys).distinct().withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33).cast("int")
     starts: list[int] = []
     for r in sorted(distinct.groupBy(part.alias("p")).count().collect()):
@@ -87,45 +87,46 @@ def dense_names(rows: DataFrame, keys: list[str], base: int = 1) -> tuple[DataFr
     return distinct.select(*keys, (first + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("name")), base
 
 
-def prefix_names(turns: DataFrame, longest: int) -> DataFrame:
+def prefix_names(turns: DataFrame, longest: int, tables: Tables) -> DataFrame:
     """(conv_id, depth, parent, name, n_chars) of each prefix of one turn or more; the empty prefix has the name 0.
 
     Equal prefixes, and only those, share a name; parent is the name of the prefix one turn shorter; n_chars is of the last turn.
     """
     levels = max(longest, 1).bit_length()
-    names, _ = dense_names(turns, ["turn_key"])
-    blocks = [cut(turns.join(names, "turn_key").select("conv_id", "pos", "name", "n_chars"))]  # of level j: pos counts blocks of 2^j turns
+    names, _ = dense_names(turns, ["turn_key"], tables)
+    blocks = [tables.keep(turns.join(names, "turn_key").select("conv_id", "pos", "name", "n_chars"))]  # of level j: pos counts blocks of 2^j turns
     for _ in range(1, levels):
         odd = F.col("pos") % 2 == 1
         pairs = blocks[-1].groupBy("conv_id", F.floor(F.col("pos") / 2).alias("pos")).agg(F.max(F.when(~odd, F.col("name"))).alias("a"), F.max(F.when(odd, F.col("name"))).alias("b")).where("b is not null")
-        names, _ = dense_names(pairs, ["a", "b"])
-        blocks.append(cut(pairs.join(names, ["a", "b"]).select("conv_id", "pos", "name")))
-    spark, known, base = turns.sparkSession, None, 1
+        pairs = tables.keep(pairs)
+        names, _ = dense_names(pairs, ["a", "b"], tables)
+        blocks.append(tables.keep(pairs.join(names, ["a", "b"]).select("conv_id", "pos", "name")))
+    known, base = None, 1
     for j in reversed(range(levels)):
         # depths whose lowest digit is 2^j: an even block of level j behind a prefix named before (the empty one at 0)
         behind = blocks[j].where(F.col("pos") % 2 == 0).select("conv_id", (F.col("pos") * (1 << j)).alias("at"), F.col("name").alias("b"))
         first = behind.where("at = 0").withColumn("a", F.lit(0).cast("long"))
         later = behind.where("at > 0").join(known.select("conv_id", F.col("depth").alias("at"), F.col("name").alias("a")), ["conv_id", "at"]) if known is not None else first.limit(0)
-        pairs = first.select("conv_id", "at", "a", "b").union(later.select("conv_id", "at", "a", "b"))
-        names, base = dense_names(pairs, ["a", "b"], base)
-        found = cut(pairs.join(names, ["a", "b"]).select("conv_id", (F.col("at") + (1 << j)).alias("depth"), "name"))
+        pairs = tables.keep(first.select("conv_id", "at", "a", "b").union(later.select("conv_id", "at", "a", "b")))
+        names, base = dense_names(pairs, ["a", "b"], tables, base)
+        found = tables.keep(pairs.join(names, ["a", "b"]).select("conv_id", (F.col("at") + (1 << j)).alias("depth"), "name"))
         known = found if known is None else known.union(found)
     parents = known.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("name").alias("parent")).union(known.where("depth = 1").select("conv_id", "depth", F.lit(0).cast("long").alias("parent")))
     chars = blocks[0].select("conv_id", (F.col("pos") + 1).alias("depth"), "n_chars")
-    return cut(known.join(parents, ["conv_id", "depth"]).join(chars, ["conv_id", "depth"]).select("conv_id", "depth", "parent", "name", "n_chars"))
+    return tables.keep(known.join(parents, ["conv_id", "depth"]).join(chars, ["conv_id", "depth"]).select("conv_id", "depth", "parent", "name", "n_chars"), "prefixes")
 
 
-def subtree_sums(nodes: DataFrame, longest: int, columns: list[str]) -> DataFrame:
+def subtree_sums(nodes: DataFrame, longest: int, columns: list[str], tables: Tables) -> DataFrame:
     """(name, *columns): each column summed over the node and all below it, in a round for each binary digit of the depth.
 
     nodes are (name, parent, depth, *columns); a parent that is not in the table stands above all of it.
     """
-    state = cut(nodes.select("name", F.when(F.col("depth") > 0, F.col("parent")).alias("up"), *columns))
+    state = tables.keep(nodes.select("name", F.when(F.col("depth") > 0, F.col("parent")).alias("up"), *columns))
     for _ in range(max(longest, 1).bit_length()):
         add = state.where("up is not null").groupBy(F.col("up").alias("name")).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
         above = state.select(F.col("name").alias("up"), F.col("up").alias("_up")).where("_up is not null")
-        state = cut(state.join(add, "name", "left").join(above, "up", "left").select("name", F.col("_up").alias("up"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns]))
-    return state.drop("up")
+        state = tables.keep(state.join(add, "name", "left").join(above, "up", "left").select("name", F.col("_up").alias("up"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns]))
+    return tables.keep(state.drop("up"), "sums")
 
 
 def ids_hashes(ends: DataFrame) -> DataFrame:
@@ -184,22 +185,24 @@ def prefix_trie(conversations: DataFrame, bundle: int = 100, most: int = 6) -> D
     empty; rows without a conv_id take no part; repeated rows are turns of their own; conv_ids may be negative (c % bundle has c's sign, as in SQL).
     Texts of any length travel as a SHA-256, on which equality rests. Other columns are not read; an empty table has no node.
     """
-    turns, lengths = rebuilt(numbered_turns(conversations), conversations, bundle, most)
-    total = lengths.agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.min("conv_id").alias("least")).first()
     spark = conversations.sparkSession
+    tables = Tables(spark, "trie")
+    turns, lengths = rebuilt(numbered_turns(conversations, tables), conversations, bundle, most, tables)
+    total = lengths.agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.min("conv_id").alias("least")).first()
     if not total["n"]:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     longest = int(total["longest"])
-    prefixes = prefix_names(turns, longest)
+    prefixes = prefix_names(turns, longest, tables)
     root = spark.createDataFrame([(0, None, 0, int(total["least"]), int(total["n"]), 0)], "name long, parent long, depth long, conv_id long, n_convs long, n_chars long")
     nodes = prefixes.groupBy("name", "parent", "depth").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("n_chars").alias("n_chars")).select(*root.columns).union(root)
-    nodes = cut(nodes)
+    nodes = tables.keep(nodes)
     children = nodes.where("parent is not null").groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("n_children"), F.count_if(F.col("n_convs") == 1).alias("lone"))
-    nodes = cut(nodes.join(children, "name", "left").withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "lone": F.coalesce("lone", F.lit(0))}))
+    nodes = tables.keep(nodes.join(children, "name", "left").withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "lone": F.coalesce("lone", F.lit(0))}), "nodes")
     # below a node of one member there is one leaf and nothing to save: only shared nodes need sums over their subtrees
     shared = nodes.where("n_convs > 1 or depth = 0").select("name", "parent", "depth", (F.when(F.col("n_children") == 0, 1).otherwise(0) + F.col("lone")).alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved_tokens"))
     deepest = int(shared.agg(F.max("depth").alias("d")).first()["d"])
-    sums = subtree_sums(shared, deepest, ["n_leaves", "saved_tokens"])
+    sums = subtree_sums(shared, deepest, ["n_leaves", "saved_tokens"], tables)
+    tables.clear()
     ends = lengths.where("length = 0").select(F.lit(0).cast("long").alias("name"), "conv_id").union(prefixes.join(lengths.withColumnRenamed("length", "depth"), ["conv_id", "depth"]).select("name", "conv_id"))
     above = nodes.select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     return (
