@@ -48,13 +48,18 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, set()),
 }
-DROP_TAG = frozenset("nav footer aside form head script style noscript template button select option textarea iframe svg math canvas object applet audio video dialog menu fieldset input label search title".split())
-DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
+DROP_TAG = frozenset("nav footer head script style noscript template button select option textarea iframe svg math canvas object applet audio video menu fieldset input label search title".split())
+DROP_ROLE = frozenset("navigation banner contentinfo search alert menu menubar toolbar status".split())
+#: Tags and roles that are judged by what they hold: a page may stand whole in a form.
+DOUBT_TAG = frozenset("form aside dialog".split())
+DOUBT_ROLE = frozenset("complementary form dialog alertdialog".split())
 DROP_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored promo promoted promotion sidebar sidebars aside menu menus nav navbar navigation"
     " breadcrumb breadcrumbs crumbs footer foot masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager paginator copyright legal login signin search searchbox skip outbrain taboola".split()
 )
+#: Unwanted words of parts that hold a page more often than others do.
+MILD_NAME = frozenset("aside sidebar sidebars widget widgets legal copyright header promo promoted promotion".split())
 #: A name that has one of these words beside an unwanted one says what the page is like, not what the part is.
 NOT_NAME = frozenset("no not without with has have is hide hidden show enable enabled disable disabled layout".split())
 #: Words that name a part of what the word before them names.
@@ -67,15 +72,17 @@ OWN_NAME = frozenset("article entry post story content".split())
 GOOD_NAME = frozenset("article body content entry main page post story text blog".split())
 PARAGRAPH = frozenset("p pre td blockquote".split())
 KEEP = frozenset("html body article main".split())
+#: Paragraph points that a line or two beside the page may have.
+BARE = 5.0
 #: Tags that can be the best container.
 HOLDER = frozenset("article main section div body td table dl ul ol center details".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "dropped", "named", "score", "points", "chars", "linked", "links", "kids", "commas", "order", "heads", "inside", "listed")
+    __slots__ = ("tag", "parent", "names", "dropped", "named", "score", "points", "chars", "linked", "links", "kids", "commas", "order", "heads", "inside", "listed", "mild")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset, dropped: bool, order: int, named: bool = False):
-        self.tag, self.parent, self.names, self.dropped, self.order, self.named = tag, parent, names, dropped, order, named
+    def __init__(self, tag: str, parent: Node | None, names: frozenset, dropped: bool, order: int, named: bool = False, mild: bool = False):
+        self.tag, self.parent, self.names, self.dropped, self.order, self.named, self.mild = tag, parent, names, dropped, order, named, mild
         self.score = self.points = 0.0
         self.chars = self.linked = self.links = self.commas = 0
         self.heads = int(tag in ("h1", "main"))
@@ -213,7 +220,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         named = tag not in KEEP and bool(attrs) and (_named(attrs.get("class", ""), articles > 0) or _named(attrs.get("id", ""), articles > 0))
         unwanted = _unwanted(tag, attrs, names, articles > 0)
         # an unwanted name drops an inline element at once; a block is judged by what it holds
-        node = Node(tag, parent, names, parent.dropped or unwanted or named and tag not in BLOCK, len(nodes), named and tag in BLOCK)
+        doubt = tag in DOUBT_TAG or attrs.get("role", "").lower() in DOUBT_ROLE and tag not in KEEP
+        mild = tag in ("form", "aside") and not named or bool(names & MILD_NAME) and not names & (DROP_NAME - MILD_NAME)
+        node = Node(tag, parent, names, parent.dropped or unwanted or named and tag not in BLOCK, len(nodes), (named or doubt) and tag in BLOCK, mild)
         if raw.endswith("/") and tag in ("svg", "path", "a"):
             continue
         nodes.append(node)
@@ -233,9 +242,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 
 
 def _drop_named(nodes: list[Node]) -> None:
-    """Drops subtrees with an unwanted name, but for one that is the page itself.
+    """Drops subtrees with an unwanted name, or of a doubtful tag or role, but for those that are the page itself.
 
-    That is one with most of the page's paragraph points and a main heading, or with all points.
+    That is one with most of the page's paragraph points and a main heading, or with all points. Where no main heading
+    and next to nothing stands outside such parts, the page is in them: then the mild ones stay, several together too.
     """
     whole = {id(x): (x.points, x.heads) for x in nodes}
     for x in reversed(nodes):
@@ -244,10 +254,17 @@ def _drop_named(nodes: list[Node]) -> None:
             q, g = whole[id(x)]
             whole[id(x.parent)] = (p + q, h + g)
     total = whole[id(nodes[0])][0]
+    within: dict[int, bool] = {}
+    outside, heads = 0.0, 0
+    for x in nodes:  # parents come before their children
+        within[id(x)] = x.named or x.parent is not None and within[id(x.parent)]
+        if not within[id(x)] and not x.dropped:
+            outside, heads = outside + x.points, heads + x.heads
+    bare = not heads and outside <= min(BARE, total / 4)
     for x in nodes:
         if x.named:
-            points, heads = whole[id(x)]
-            x.named = not (points > 0 and (points >= total or points > total / 2 and heads))
+            points, own = whole[id(x)]
+            x.named = not (points > 0 and (points >= total or points > total / 2 and own or bare and x.mild))
         if (x.parent is not None and x.parent.dropped or x.named) and not x.dropped:
             x.dropped = True
         if x.dropped:
@@ -279,6 +296,7 @@ def extract(page: str | None) -> str:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.links += node.links
+            node.parent.commas += node.commas
     for node in nodes:
         bonus = {"article": 25, "main": 15}.get(node.tag, 0) if node.chars and not node.dropped else 0
         if node.tag in ("div", "section", "td"):
@@ -296,12 +314,18 @@ def extract(page: str | None) -> str:
             para = x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and x.linked == 0)
             if not x.dropped and (enough or para or x.tag == best.tag == "article" and x.score > 0):
                 kept.add(id(x))
+        follows = False
+        for x in reversed(best.parent.kids):  # a main heading beside what is kept, and any heading right before it
+            if x.tag == "h1" or x.tag in ("h2", "h3") and follows:
+                if not x.dropped and x.chars and not x.linked:
+                    kept.add(id(x))
+            follows = id(x) in kept
     for x in nodes:  # parents come before their children
         if id(x) in kept:
             x.inside = True
         elif x.parent is not None:
             x.inside = x.parent.inside
-            x.listed = x.parent.listed or x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked >= 0.7 * x.chars
+            x.listed = x.parent.listed or x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 3 and x.linked >= 0.7 * x.chars and x.commas < x.links - 1
     return " ".join(text for owner, text in blocks if owner.inside and not owner.listed)
 
 
