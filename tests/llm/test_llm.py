@@ -423,10 +423,11 @@ def test_top_k_matches_brute_force(spark, tmp_path):
     x[::3] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 6), (902, [None, 1.0] * 3), (903, [])]
     got = topk.integer_vectors(table(spark, tmp_path, rows, "vec_id long, embedding array<double>"))
-    assert got.count() == 300
-    q = np.floor(256 * x)
-    want = {(i, k, j, int(s)) for i in range(0, 300, 50) for k, (s, j) in enumerate(sorted(((-(q[i] @ q[j]), j) for j in range(300) if j != i))[:5], 1) for s in [-s]}
-    assert {tuple(r) for r in topk.top_k(got, got.where("id % 50 = 0"), nodes=8, page=16).collect()} == want
+    assert got.count() == 301
+    q = np.vstack([np.floor(256 * x), np.zeros(6)])  # an empty vector has the product 0 with all
+    ids = [*range(300), 903]
+    want = {(i, k, j, int(s)) for i in range(0, 300, 50) for k, (s, j) in enumerate(sorted(((-(q[i] @ q[n]), j) for n, j in enumerate(ids) if j != i))[:5], 1) for s in [-s]}
+    assert {tuple(r) for r in topk.top_k(got, got.where("id % 50 = 0"), pivots=8, page=16).collect()} == want
     assert topk.top_k(got.limit(0), got.limit(0)).count() == 0
 
 
