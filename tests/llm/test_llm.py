@@ -307,12 +307,12 @@ def plain_text(page):
         def handle_starttag(self, tag, attrs):
             if tag in html_text.BLOCK:
                 self.cut()
-            self.off += tag in html_text.DROP_TAG
+            self.off += tag in html_text.DROP_TAG | html_text.DOUBT_TAG
 
         def handle_endtag(self, tag):
             if tag in html_text.BLOCK:
                 self.cut()
-            self.off -= tag in html_text.DROP_TAG
+            self.off -= tag in html_text.DROP_TAG | html_text.DOUBT_TAG
 
         def handle_data(self, data):
             if not self.off:
