@@ -174,7 +174,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
     bytes, one pass over docs for each block. Null or empty texts and items match
     nothing; items too short for the bound match whole and unchanged. Repeated
     rows of docs give repeated rows; of rows of the benchmark with one id and
-    text one counts. Rows with a null item id are ignored.
+    text one counts. Rows with a null item id are ignored. Texts of any length are read whole, other columns of both
+    tables are not read, whatever their names; an empty table of either gives an empty one.
     """
     if not 0 <= rate <= 1 / Q:
         raise ValueError(f"rate must be from 0 to {1 / Q}")

@@ -202,7 +202,8 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """Packs docs (doc_id, text) with the 50,257-id byte-level BPE into windows of 2048 ids.
 
     A null or empty text is the single end id. Repeated rows are packed as often
-    as they come and a null id is kept; other columns are not read.
+    as they come and a null id is kept; other columns are not read, whatever their
+    names. Texts of any length are cut into whole windows and a rest; an empty table gives an empty one.
     """
     import public_tokenizers as public
 

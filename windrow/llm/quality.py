@@ -160,7 +160,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 2, id_col: s
     `held`; those with remainder 3 serve the calibration. A null or empty text
     has a score like any other; a row with a null id is scored but teaches
     nothing; repeated rows come back as often as they come, and repeated labels
-    of one document count once (the larger). Clashing extra columns are not read.
+    of one document count once (the larger). Texts of any length are read whole, other columns of docs are not read,
+    whatever their names; empty docs give an empty table, and without labels every score is 0.5.
     """
     rest = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(4))
     stats = cut(document_statistics(docs, id_col, text_col))

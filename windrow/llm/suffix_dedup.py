@@ -401,7 +401,8 @@ def repeated_bytes(docs: DataFrame, with_spans: bool = False, id_col: str = "doc
     A byte is removed if a string of LENGTH bytes that covers it also starts in a
     document with a smaller id; spans are the maximal removed runs, as byte
     offsets. Null text is empty. A null id neither removes nor loses anything.
-    Rows with equal ids do not remove from each other. An empty table gives an empty one.
+    Rows with equal ids do not remove from each other. An empty table gives an empty one. Texts of any
+    length are whole; other columns are not read, whatever their names.
     docs must be a table or something else that reads the same in every pass; if
     its partitions change between two passes the query fails instead of returning wrong rows.
     """

@@ -231,6 +231,14 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 class Tables:
     """Tables of one run in a folder of its own in the shared folder.
 

@@ -209,7 +209,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
     by hash), start the label model and calibrate the score. A null or empty
     text has no evidence and gets the base score; a null id is scored but
     teaches nothing; repeated rows come back as often as they come; repeated
-    labels of one document count once (the larger).
+    labels of one document count once (the larger). Texts of any length are read whole, other columns of docs are not
+    read, whatever their names; empty docs give an empty table, and without labels only the built-in voters speak.
     """
     rest = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(3))
     rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
