@@ -29,7 +29,9 @@ def whole_covariance(windows: DataFrame, vector: str, *keys: str) -> DataFrame:
 
 
 def squared_distances(windows: DataFrame, centres: DataFrame, vector: str, key: str) -> DataFrame:
-    """d2 of each window to each of a bounded list of centres (label, centre array): classes are few, so they are broadcast."""
+    """d2 of each window to each of a bounded list of centres (label, centre array): at most MOST, more are an error, so they are broadcast."""
+    if centres.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} centres")
     d2 = F.aggregate(F.zip_with(F.col(vector), F.col("centre"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
     return windows.join(F.broadcast(centres)).select(*windows.columns, F.col(key).alias("centre_label"), d2.alias("d2"))
 

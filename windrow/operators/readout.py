@@ -34,6 +34,19 @@ def fisher_axes(stats: dict, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarra
     return axes / np.linalg.norm(axes, axis=0), np.maximum(0, values[pick])
 
 
+def fisher_values(n: np.ndarray, means: np.ndarray, second: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """The eigenvalues of fisher_axes from class sizes, class means and the sum of x x' over all rows, which no labelling changes."""
+    n = n.astype(float)
+    grand = n @ means / n.sum()
+    inner = (means * n[:, None]).T @ means
+    within = (second - inner) / max(1, n.sum() - len(n))
+    within = within + ridge * np.trace(within) / len(within) * np.eye(len(within))
+    between = (inner - n.sum() * np.outer(grand, grand)) / max(1, len(n) - 1)
+    low = np.linalg.cholesky(within)
+    values = np.linalg.eigvalsh(np.linalg.solve(low, np.linalg.solve(low, between).T))[::-1]
+    return np.maximum(0, values[: len(n) - 1])
+
+
 def linear_scores(windows: DataFrame, key: str, label: str, vector: str, loading: float = 1e-3) -> DataFrame:
     """(key, label, predicted): argmax over classes of x b_c - m_c b_c / 2 with b_c = C^-1 m_c, C the mean covariance plus a loading."""
     labels, means, _, pooled = class_statistics(sufficient(windows, vector, label))
