@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +19,18 @@ def affine(windows: DataFrame, vector: str, matrix: np.ndarray, shift: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(position).to_pylist()
-            good = [i for i, r in enumerate(rows) if r is not None and len(r) == len(matrix) and None not in r]
-            made: list = [None] * len(rows)
-            if good:
-                for i, r in zip(good, (np.array([rows[i] for i in good], float) @ matrix + shift).tolist(), strict=True):
-                    made[i] = r
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float64()))], names=[*b.schema.names, out])
+            column, n, width = b.column(position), b.num_rows, len(matrix)
+            flat, starts = column.flatten(), np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)])
+            holes = np.cumsum(np.r_[0, flat.is_null().to_numpy(zero_copy_only=False)])
+            good = (np.diff(starts) == width) & (holes[starts[1:]] == holes[starts[:-1]]) & column.is_valid().to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(good)
+            values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+            made = values[(starts[rows][:, None] + np.arange(width))] @ matrix + shift
+            ends = np.cumsum(np.where(good, len(shift), 0)).astype(np.int32)
+            # an offset that is null makes its list null
+            offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[~good, False])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(made.ravel())) if n else pa.array([], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out])
 
     return windows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema) + f", `{out}` array<double>")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .moments import sufficient
+from .sums import finite, matrix
 
 
 def class_statistics(stats: dict) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +80,8 @@ def quadratic_scores(windows: DataFrame, key: str, label: str, vector: str, alph
     """(key, label, predicted): argmax of -(log det C + (x - m)' C^-1 (x - m)) / 2, C = (1 - alpha) C_class + alpha C_mean plus a loading.
 
     alpha 1 gives the linear rule. A covariance that is not positive definite is an
-    error; no pseudo-inverse is taken. Ties go to the smaller class.
+    error; no pseudo-inverse is taken. Ties go to the smaller class. Rows without a vector, or with a null or non-finite
+    component, take no part; one of another length is an error.
     """
     from collections.abc import Iterator
 
@@ -95,12 +97,12 @@ def quadratic_scores(windows: DataFrame, key: str, label: str, vector: str, alph
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, d)
+            x = matrix(b.column(2), d)
             s = np.array([-0.5 * (g + (((x - m) @ w.T) ** 2).sum(1)) for m, w, g in zip(means, whiten, logdet, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[s.argmax(0)], pa.int64())], names=[key, label, "predicted"])
 
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
-    return windows.where(F.col(vector).isNotNull()).select(key, label, vector).mapInArrow(run, f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, predicted long")
+    return windows.where(finite(vector)).select(key, label, vector).mapInArrow(run, f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, predicted long")
 
 
 def covariance_diagnostics(stats: dict) -> list[tuple[int, int, int, float, float]]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .readout import class_statistics
+from .sums import finite, matrix
 
 
 def covariance_of(stats: dict, balanced: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -67,7 +68,7 @@ def canonical_axes(sessions: dict[tuple[int, int], tuple], shrinkage: float = 0.
     """(axes, eigenvalues, class means) of the discriminant on session-balanced moments {(class, session): (n, sum, sum of squares)}.
 
     A class's mean is the mean of its session means; within scatter is that inside sessions plus that between
-    them; it shrinks to trace / d times I. The largest pair gap on each axis is positive.
+    them; it shrinks to trace / d times I, with 1e-10 of that as jitter. The largest pair gap on each axis is positive.
     """
     classes = sorted({c for c, _ in sessions})
     means, within = {}, 0.0
@@ -79,7 +80,7 @@ def canonical_axes(sessions: dict[tuple[int, int], tuple], shrinkage: float = 0.
         within = within + inner + (centre - means[c]).T @ (centre - means[c]) / len(own)
     d = len(means[classes[0]])
     within = within / len(classes)
-    within = (1 - shrinkage) * within + shrinkage * np.trace(within) / d * np.eye(d) + 1e-10 * np.eye(d)
+    within = (1 - shrinkage) * within + (shrinkage + 1e-10) * np.trace(within) / d * np.eye(d)
     m = np.array([means[c] for c in classes])
     between = (m - m.mean(0)).T @ (m - m.mean(0)) / max(1, len(classes) - 1)
     low = np.linalg.cholesky(within)
@@ -112,21 +113,26 @@ def quadratic_weights(stats: dict, alphas: list[float]) -> dict[float, list[tupl
 
 
 def quadratic_grid(windows: DataFrame, key: str, label: str, vector: str, weights: dict) -> DataFrame:
-    """(key, label, alpha, predicted): all alphas of a grid in one pass; ties go to the smaller class."""
+    """(key, label, alpha, predicted): all alphas of a grid in one pass; ties go to the smaller class.
+
+    Rows without a vector, or with a null or non-finite component, take no part; one of another length than the fit's is an error.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
+    dim = len(next(iter(weights.values()))[0][1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            x = matrix(b.column(2), dim)
             for alpha, rows in weights.items():
                 s = np.array([-0.5 * (logdet + (((x - m) @ inv) * (x - m)).sum(1)) for _, m, inv, logdet in rows])
                 names = np.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, alpha)), pa.array(names[s.argmax(0)], pa.int64())], names=[key, label, "alpha", "predicted"])
 
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
-    return windows.where(F.col(vector).isNotNull()).select(key, label, vector).mapInArrow(run, f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, alpha double, predicted long")
+    return windows.where(finite(vector)).select(key, label, vector).mapInArrow(run, f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, alpha double, predicted long")
 
 
 def standardised(rows: DataFrame, columns: list[str], train: Column, tolerance: float = 1e-12) -> DataFrame:

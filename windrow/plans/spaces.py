@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, metrics, moments, ranks, readout, spaces, updates
+from ..operators import align, metrics, moments, ranks, readout, spaces, subspaces, updates
 from ..sources import tables
 from .registry import LONG, events, query, rounded, windows
 
@@ -299,9 +299,9 @@ def angle_spectrum(spark, sf_dir):
 @query(f"WITH {LONG}, c AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM c GROUP BY 1) SELECT a.label AS a, b.label AS b, round(degrees(acos(least(1, abs(sum(a.m * b.m) / any_value(s.n * t.n))))), 4) AS angle, round(power(sum(a.m * b.m) / any_value(s.n * t.n), 2), 6) AS overlap FROM c a JOIN c b ON a.dim = b.dim AND a.label < b.label JOIN n s ON s.label = a.label JOIN n t ON t.label = b.label GROUP BY 1, 2")
 def principal_angles(spark, sf_dir):
     """Angle and overlap (mean squared cosine) of the lines through the class centroids, for each pair of classes."""
-    c = {r["centre_of"]: np.array(r["centre"])[:, None] for r in moments.centre_arrays(windows(spark, sf_dir), "label", "embedding").limit(moments.MOST).collect()}
-    rows = [(a, b, float(spaces.principal_angles(c[a], c[b])[0])) for a in c for b in c if a < b]
-    t = spark.createDataFrame(rows, "a int, b int, angle double")
+    c = moments.centre_arrays(windows(spark, sf_dir), "label", "embedding").where("centre_of is not null")
+    spans = c.select(F.lit(0).alias("all"), "centre_of", F.array("centre").alias("basis"), F.lit(1).alias("support"), F.size("centre").alias("ambient"))
+    t = subspaces.fold_stability(spans, ["all"], "centre_of", "basis").select(F.col("fold_a").alias("a"), F.col("fold_b").alias("b"), F.col("max_angle").alias("angle"))
     return t.select("a", "b", rounded("angle", 4).alias("angle"), rounded(F.pow(F.cos(F.radians("angle")), 2)).alias("overlap"))
 
 
