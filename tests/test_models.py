@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windrow.operators import align, moments, nulls, rangefinder, ranks, readout, relate, selection, spaces, subspaces
+from windrow.operators import adapter, align, moments, nulls, rangefinder, ranks, readout, relate, selection, spaces, subspaces
 from windrow.sources.scratch import shared_folder
 
 
@@ -339,3 +339,44 @@ def test_grid_and_scores_leave_out_bad_vectors(spark):
     assert readout.quadratic_scores(df.union(odd), "key", "label", "x", 0.5).count() == 60
     with pytest.raises(Exception, match="differ in length"):
         spaces.quadratic_grid(df.union(spark.createDataFrame([(93, [1.0], 0)], "key long, x array<double>, label int")), "key", "label", "x", weights).collect()
+
+
+# adapter
+
+
+def test_adapter_gradient_is_the_slope():
+    rng = np.random.default_rng(16)
+    net = adapter.Adapter.fresh(3, (4, 5), 1)
+    net = net.moved(net.flat() + rng.standard_normal(len(net.flat())) * 0.3)
+    x, out = rng.standard_normal((6, 3)), rng.standard_normal((6, 3))
+    got, flat = net.gradient(x, out), net.flat()
+    for i in range(0, len(flat), 7):
+        step = np.zeros(len(flat))
+        step[i] = 1e-6
+        slope = ((net.moved(flat + step)(x) - net.moved(flat - step)(x)) * out).sum() / 2e-6
+        assert abs(slope - got[i]) < 1e-6 * max(1, abs(slope))
+
+
+def sliced(x, y, theta):
+    """Squared sliced Wasserstein distance by sorting, of equally many rows."""
+    return np.mean([((np.sort(x @ t) - np.sort(y @ t)) ** 2).mean() for t in theta])
+
+
+def test_adapter_moves_a_cloud_onto_another(spark):
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((400, 3))
+    y = rng.standard_normal((400, 3)) * [1.5, 0.7, 1.0] + [1.0, -0.5, 0.0]
+    df = lambda z: spark.createDataFrame([(v.tolist(),) for v in z] + [(None,), ([None, 1.0, 2.0],)], "x array<double>").repartition(3)
+    theta = np.random.default_rng(5).standard_normal((32, 3))
+    theta /= np.linalg.norm(theta, axis=1, keepdims=True)
+    net = adapter.fit_adapter(df(x), df(y), "x", epochs=30, rate=0.05, move=0.0, seed=5)
+    assert abs(net.losses[0] - sliced(x, y, theta)) < 0.02 * net.losses[0]  # bins against sorting
+    assert min(net.losses) < 0.1 * net.losses[0] and abs(min(net.losses) - sliced(net(x), y, theta)) < 0.02 * net.losses[0]
+    got = adapter.apply_adapter(df(x), "x", net).collect()
+    assert sum(r["adapted"] is None for r in got) == 2
+    first = next(r for r in got if r["x"] == x[0].tolist())
+    assert np.allclose(first["adapted"], net(x[:1])[0])
+    held = adapter.fit_adapter(df(x), df(y), "x", anchors=df(x), anchor=100.0, epochs=6, seed=5)
+    assert ((held(x) - x) ** 2).mean() < 0.2 * ((net(x) - x) ** 2).mean()  # anchors stay where they are
+    with pytest.raises(ValueError, match="empty"):
+        adapter.fit_adapter(df(x), df(x).limit(0), "x")

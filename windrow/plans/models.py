@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, moments, nulls, readout, selection, subspaces
+from ..operators import adapter, curves, moments, nulls, readout, selection, subspaces
 from ..sources import tables
 from .registry import LONG, ORACLES, events, query, rounded, windows
 from .spaces import _UNIT, _dot, _rank_one
@@ -148,3 +148,13 @@ def group_centroid_accuracy(spark, sf_dir):
     p = d.groupBy("group").agg(F.min_by("centre_label", F.struct("d2", "centre_label")).alias("p"))
     label = F.floor(F.col("group") / 7).cast("int")
     return p.groupBy(label.alias("label")).agg(F.count("*").alias("groups"), rounded(F.avg(F.when(F.col("p") == F.floor(F.col("group") / 7), 1.0).otherwise(0.0))).alias("accuracy"))
+
+
+@query()
+def adapter_losses(spark, sf_dir):
+    """The loss of an adapter that moves the even windows onto the odd ones, shifted by 0.1, before each step."""
+    w = windows(spark, sf_dir)
+    first = w.where("vec_id % 2 = 0").select(F.slice("embedding", 1, 8).alias("x"))
+    second = w.where("vec_id % 2 = 1").select(F.transform(F.slice("embedding", 1, 8), lambda v: v + 0.1).alias("x"))
+    net = adapter.fit_adapter(first, second, "x", epochs=10)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(net.losses)], "step int, loss double").withColumn("loss", rounded("loss", 5))
