@@ -79,24 +79,52 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def export(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes tables and, last, their manifest as Parquet under path: a hand-off without a manifest is not complete."""
+def seal(tables: dict[str, DataFrame], version: int) -> DataFrame:
+    """(name, version, n, schema, digest) of each table.
+
+    A row's SHA-256 is that of its JSON with all columns by name, nulls written out; the digest adds up its four
+    quarters over all rows, so it holds for any order and partitioning, and counts repeated rows.
+    """
+    parts = []
+    for name, t in sorted(tables.items()):
+        columns = sorted(t.columns)
+        own = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+        quarter = lambda i: F.sum(F.conv(F.substring(own, 16 * i + 1, 15), 16, 10).cast("decimal(38,0)"))  # noqa: B023, E731
+        kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for c in columns)
+        sums = t.agg(F.count("*").alias("n"), *[F.coalesce(quarter(i), F.lit(0)).cast("string").alias(f"q{i}") for i in range(4)])
+        parts.append(sums.select(F.lit(name).alias("name"), F.lit(version).alias("version"), "n", F.lit(kinds).alias("schema"), F.concat_ws("-", *[f"q{i}" for i in range(4)]).alias("digest")))
+    return reduce(DataFrame.union, parts)
+
+
+def export(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
+    """Writes tables and, last, their seal as Parquet under path: a hand-off without a seal is not complete."""
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    manifest({n: spark.read.parquet(f"{path}/{n}") for n in tables}).coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest_")
+    seal({n: spark.read.parquet(f"{path}/{n}") for n in tables}, version).coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest_")
 
 
-def load(spark, path: str) -> dict[str, DataFrame]:
-    """The tables of an export; one whose rows no longer match the manifest is an error."""
-    want = {r["name"]: (r["n"], r["digest"]) for r in spark.read.parquet(f"{path}/_manifest_").collect()}  # one row a table
+def load(spark, path: str, version: int = 1) -> dict[str, DataFrame]:
+    """The tables of an export; another version than the one asked for, and a table whose rows or columns no longer match the seal, are errors."""
+    want = {r["name"]: r for r in spark.read.parquet(f"{path}/_manifest_").collect()}  # one row a table
+    other = {r["version"] for r in want.values()} - {version}
+    if other:
+        raise ValueError(f"the hand-off is of version {sorted(other)[0]}, not {version}")
     found = {n: spark.read.parquet(f"{path}/{n}") for n in want}
-    have = {r["name"]: (r["n"], r["digest"]) for r in manifest(found).collect()}
+    have = {r["name"]: r for r in seal(found, version).collect()}
     if have != want:
         raise ValueError(f"tables differ from their manifest: {sorted(n for n in want if have[n] != want[n])}")
     return found
 
 
+def looked_up(requests: DataFrame, ledger: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """requests with a ledger's columns by key; a request whose key the ledger lacks fails the job that reads it, and so does a ledger with a key twice."""
+    once = ledger.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns])
+    met = requests.join(once, keys, "left")
+    rules = {"a key is not in the ledger": F.col("_n").isNotNull(), "a key is twice in the ledger": F.col("_n") == 1}
+    return demand(met, rules).drop("_n")
+
+
 def append(df: DataFrame, path: str, *partitions: str) -> None:
     """Appends to a Parquet table; columns other than the table's are an error."""
     spark = df.sparkSession

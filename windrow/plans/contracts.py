@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import contracts, relate
-from ..sources import tables
+from ..operators import contracts, ranks, relate
+from ..sources import scratch, tables
 from .registry import POSITIONS, events, query, rounded, samples, windows
 
 SPEC = "0=Eyes Closed, 1=eyes-open, 2=N-Back 0, 3=N-Back 1, 4=N-Back 2, 5=MATB Easy, 6=MATB Hard"
@@ -89,7 +89,7 @@ def partitioned_readback(spark, sf_dir):
     """A table written by partitions, appended to, with rows replaced, and read back through its partitions."""
     import uuid
 
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_readback/{uuid.uuid4().hex}"
+    path = f"{scratch.shared_folder(spark)}/readback-{uuid.uuid4().hex}"
     o = tables.scan(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
     contracts.append(o.where("o_orderkey % 2 = 0"), f"{path}/first", "o_orderstatus")
     contracts.append(o.where("o_orderkey % 2 = 1"), f"{path}/first", "o_orderstatus")
@@ -165,3 +165,37 @@ def neighbour_overlap(spark, sf_dir):
 def ledger_positions(spark, sf_dir):
     s = samples(spark, sf_dir).withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy("t")))
     return s.agg(F.count("*").alias("n_rows"), F.count_if(F.col("p") != F.col("t") + 1).alias("out_of_place"))
+
+
+_SEAL = "CAST(sum(CAST('0x' || substr(h, {0}, 15) AS HUGEINT)) AS VARCHAR)"
+
+
+@query(f"WITH r AS (SELECT 'nation' AS name, sha256(CAST(json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey) AS VARCHAR)) AS h FROM nation UNION ALL SELECT 'orders', sha256(CAST(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderstatus', nullif(o_orderstatus, 'P')) AS VARCHAR)) FROM orders) SELECT name, CAST(3 AS INTEGER) AS version, count(*) AS n, concat_ws('-', {', '.join(_SEAL.format(16 * i + 1) for i in range(4))}) AS digest FROM r GROUP BY 1")
+def sealed_handoff(spark, sf_dir):
+    """Tables handed off under a version and a seal of SHA-256 sums, loaded again and sealed once more."""
+    import uuid
+
+    path = f"{scratch.shared_folder(spark)}/handoff-{uuid.uuid4().hex}"
+    orders = tables.scan(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    contracts.export({"nation": tables.scan(spark, sf_dir, "nation", "n_name", "n_nationkey", "n_regionkey"), "orders": orders}, path, 3)
+    return contracts.seal(contracts.load(spark, path, 3), 3).select("name", "version", "n", "digest")
+
+
+@query("WITH o AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders) SELECT l_orderkey, l_linenumber, position FROM lineitem JOIN o ON o_orderkey = l_orderkey WHERE l_quantity > 45")
+def ledger_lookup(spark, sf_dir):
+    """The lines of large quantity with their order's place among its customer's, by a ledger that must have each order once."""
+    o = ranks.places(tables.scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "position")
+    lines = tables.scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity > 45")
+    return contracts.looked_up(lines.withColumnRenamed("l_orderkey", "o_orderkey"), o, ["o_orderkey"], "position").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "position")
+
+
+@query("SELECT user_id, t, value, flag FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS flag FROM events) WHERE user_id % 50 = 7 AND value IS NOT NULL")
+def recording_readback(spark, sf_dir):
+    """Samples of some subjects written as text, a folder a subject, and read back with their checks."""
+    import uuid
+
+    path = f"{scratch.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    s = samples(spark, sf_dir).where("user_id % 50 = 7 and value is not null").select("user_id", "t", "value", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("flag"))
+    s.repartition("user_id").sortWithinPartitions("user_id", "t").write.partitionBy("user_id").csv(path, sep=";", header=True)
+    read = tables.recording(spark, path, "t long, value double, flag int, user_id long", "t", ("flag",), ";")
+    return read.select("user_id", "t", "value", "flag")

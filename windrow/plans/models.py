@@ -5,9 +5,10 @@ Those with SQL have spans of one or two axes, whose projections have closed form
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import adapter, curves, moments, nulls, readout, selection, subspaces
+from ..operators import adapter, curves, moments, nulls, ranks, readout, selection, spaces, subspaces
 from ..sources import tables
 from .registry import LONG, ORACLES, events, query, rounded, windows
 from .spaces import _UNIT, _dot, _rank_one
@@ -158,3 +159,57 @@ def adapter_losses(spark, sf_dir):
     second = w.where("vec_id % 2 = 1").select(F.transform(F.slice("embedding", 1, 8), lambda v: v + 0.1).alias("x"))
     net = adapter.fit_adapter(first, second, "x", epochs=10)
     return spark.createDataFrame([(i, v) for i, v in enumerate(net.losses)], "step int, loss double").withColumn("loss", rounded("loss", 5))
+
+
+# spectra and shuffled draws
+
+
+@query(f"WITH {_UNIT}, s AS (SELECT vec_id, product(s) AS sigma FROM n GROUP BY 1), r AS (SELECT label, sigma * sigma AS e, row_number() OVER (PARTITION BY label ORDER BY round(sigma * sigma, 10) DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM s JOIN embeddings USING (vec_id)), g AS (SELECT CAST(i / 10.0 AS DOUBLE) AS f FROM range(0, 11) r(i)) SELECT label, f AS q, CAST(ceil(any_value(n) * f - 1e-9) AS INTEGER) AS rank, round(coalesce(sum(e) FILTER (WHERE k <= ceil(n * f - 1e-9)), 0) / sum(e), 6) AS energy FROM r, g GROUP BY label, f")
+def energy_grid(spark, sf_dir):
+    """Energy that a class's strongest components hold, for a grid of fractions of their number."""
+    r = _rank_one(spark, sf_dir).select("label", "vec_id", (F.col("sigma") * F.col("sigma")).alias("e"), F.round(F.col("sigma") * F.col("sigma"), 10).alias("_o"), (-F.col("vec_id")).alias("_id"))
+    placed = ranks.places(r, ["label"], ["_o", "_id"], "k", down=True)
+    total = r.groupBy("label").agg(F.count("*").alias("n"), F.sum("e").alias("all"))
+    grid = total.withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10.0))).withColumn("rank", spaces.rank_for_fraction(F.col("n"), F.col("q")))
+    # a row meets the grid of its class only
+    met = grid.join(placed, "label").groupBy("label", "q", "rank").agg((F.sum(F.when(F.col("k") < F.col("rank"), F.col("e")).otherwise(0.0)) / F.first("all")).alias("energy"))
+    return met.select("label", "q", "rank", rounded("energy").alias("energy"))
+
+
+_TEMPORAL = 9
+
+
+@query(f"WITH e AS (SELECT user_id, event_type, event_id, value FROM events WHERE value IS NOT NULL), d AS (SELECT e.*, draw FROM e, range(0, {_TEMPORAL + 1}) d(draw)), w AS (SELECT *, row_number() OVER (PARTITION BY draw, user_id, event_type ORDER BY event_id) AS i, row_number() OVER (PARTITION BY draw, user_id, event_type ORDER BY CASE WHEN draw = 0 THEN '' ELSE md5(draw || '|' || event_id) END, event_id) AS j FROM d), g AS (SELECT a.draw, a.user_id, a.event_id, b.value FROM w a JOIN w b ON a.draw = b.draw AND a.user_id = b.user_id AND a.event_type = b.event_type AND a.i = b.j), s AS (SELECT draw, user_id, value, value - lag(value) OVER (PARTITION BY draw, user_id ORDER BY event_id) AS step FROM g), r AS (SELECT draw, user_id, avg(step * step) / nullif(var_pop(value), 0) AS ratio FROM s GROUP BY 1, 2), o AS (SELECT user_id, ratio AS real FROM r WHERE draw = 0) SELECT user_id, round(any_value(real), 6) AS jump_energy, round(avg(ratio), 6) AS null_mean, round((1 + count(*) FILTER (WHERE round(ratio, 9) <= round(real, 9))) / (1 + {_TEMPORAL}), 6) AS p FROM r JOIN o USING (user_id) WHERE draw > 0 AND ratio IS NOT NULL GROUP BY 1")
+def temporal_null(spark, sf_dir):
+    """Each subject's jump energy against values shuffled within its classes, by draw, and the share of draws that are as smooth.
+
+    A draw keys its order by a digest of the draw and the sample: ranks come from ranges of (draw, subject, class), not from a window of one.
+    """
+    e = events(spark, sf_dir).where("value is not null").select("user_id", "event_type", "event_id", "value")
+    d = e.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_TEMPORAL))))
+    d = d.withColumn("_h", F.when(F.col("draw") == 0, "").otherwise(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("event_id").cast("string")))))
+    keys = ["draw", "user_id", "event_type"]
+    own = ranks.places(ranks.places(d, keys, ["event_id"], "i"), keys, ["_h", "event_id"], "j")
+    shuffled = own.select(*keys, "event_id", "i").join(own.select(*keys, F.col("j").alias("i"), "value"), [*keys, "i"])
+    w = curves.Window.partitionBy("draw", "user_id").orderBy("event_id")
+    steps = shuffled.withColumn("step", F.col("value") - F.lag("value").over(w))
+    r = steps.groupBy("draw", "user_id").agg((F.avg(F.col("step") * F.col("step")) / F.nullif(F.var_pop("value"), F.lit(0.0))).alias("ratio"))
+    met = r.where("draw > 0 and ratio is not null").join(r.where("draw = 0").select("user_id", F.col("ratio").alias("real")), "user_id")
+    low = F.count_if(F.round("ratio", 9) <= F.round("real", 9))
+    return met.groupBy("user_id").agg(rounded(F.first("real")).alias("jump_energy"), rounded(F.avg("ratio")).alias("null_mean"), rounded((1 + low) / (1 + _TEMPORAL)).alias("p"))
+
+
+@query(f"WITH {LONG}, s AS (SELECT label, vec_id % 3 AS session, vec_id, dim, v FROM x), m AS (SELECT label, session, dim, avg(v) AS m, count(*) AS n FROM s GROUP BY 1, 2, 3), g AS (SELECT label, dim, avg(v) AS g FROM s GROUP BY 1, 2), d AS (SELECT s.label, s.vec_id, s.dim, s.v - m.m AS d FROM s JOIN m USING (label, session, dim)), w AS (SELECT a.label, a.dim AS i, b.dim AS j, sum(a.d * b.d) AS w FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY 1, 2, 3), o AS (SELECT m.label, m.session, m.dim, m.n, m.m - g.g AS d FROM m JOIN g USING (label, dim)), b AS (SELECT a.label, a.dim AS i, b.dim AS j, sum(a.n * a.d * b.d) AS b FROM o a JOIN o b ON a.label = b.label AND a.session = b.session AND a.dim <= b.dim GROUP BY 1, 2, 3) SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w, 5) AS within, round(b, 5) AS between FROM w JOIN b USING (label, i, j)")
+def session_scatter(spark, sf_dir):
+    """Within- and between-session scatter matrices of each class, upper triangles: every component with every other."""
+    w = windows(spark, sf_dir).withColumn("session", F.col("vec_id") % 3)
+    rows = []
+    found = selection.session_moments(w, "session", "label", "embedding")
+    for c in sorted({c for s in found.values() for c in s}):
+        own = [s[c] for s in found.values() if c in s]
+        total, n = sum(x[1] for x in own), sum(x[0] for x in own)
+        inner = sum(x[2] - np.outer(x[1], x[1]) / x[0] for x in own)
+        outer = sum(x[0] * np.outer(x[1] / x[0] - total / n, x[1] / x[0] - total / n) for x in own)
+        rows += [(c, i, j, float(inner[i, j]), float(outer[i, j])) for i in range(len(total)) for j in range(i, len(total))]
+    t = spark.createDataFrame(rows, "label int, i int, j int, within double, between double")
+    return t.withColumns({"within": rounded("within", 5), "between": rounded("between", 5)})

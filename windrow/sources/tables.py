@@ -22,6 +22,48 @@ def delimited(spark: SparkSession, path: str, schema: str, delimiter: str = ",",
     return spark.read.csv(path, schema=schema, sep=delimiter, header=header, mode="FAILFAST")
 
 
+def sniffed(spark: SparkSession, path: str, candidates: str = ",;|\t") -> str:
+    """The candidate that splits the first lines of a text file into most fields, as many in each; an error if none does."""
+    lines = [r["value"] for r in spark.read.text(path).limit(20).collect() if r["value"].strip()]
+    counts = {c: {line.count(c) for line in lines} for c in candidates}
+    even = [c for c in candidates if len(counts[c]) == 1 and counts[c] != {0}]
+    if not even:
+        raise ValueError("no delimiter splits all lines alike")
+    return max(even, key=lambda c: max(counts[c]))
+
+
+def recording(spark: SparkSession, path: str, schema: str, time: str, flags: tuple[str, ...] = (), delimiter: str | None = None, header: bool = True) -> DataFrame:
+    """Delimited samples under a declared schema, checked: another count of columns or a value of another type fails the read, a time that does not grow
+    with the rows of its file, and a flag other than 0 or 1, fail the job that reads it.
+
+    Rows keep their order within a file's splits; a split's first row is compared with no other.
+    """
+    from ..operators.contracts import demand
+
+    rows = delimited(spark, path, schema, delimiter or sniffed(spark, path), header)
+    return demand(_growing(rows, time), {f"{time} does not grow": F.col("_grows"), **{f"{c} is not 0 or 1": F.col(c).isin(0, 1) for c in flags}}).drop("_grows")
+
+
+def _growing(rows: DataFrame, time: str) -> DataFrame:
+    """rows with _grows, whether their time is beyond that of the row before them in their partition."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    at = rows.columns.index(time)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -np.inf
+        for b in batches:
+            t = b.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            grows = np.r_[last, t[:-1]] < t if len(t) else np.zeros(0, bool)
+            last = t[-1] if len(t) else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grows)], names=[*b.schema.names, "_grows"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _grows boolean")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as samples: subject, class, value and position t in the subject's order."""
     return scan(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value").withColumn("ts", F.col("ts").cast("timestamp"))
