@@ -85,3 +85,24 @@ def test_links_of_very_many_pairs_stay_apart():
     twice = np.hstack([links, links + np.array([0, 50, 50, 0, 50, 50])[:, None]])
     out = passages._joined(twice)
     assert out.shape[1] == n and (out[2] == 140).all() and (out[5] == 140).all()
+
+
+@pytest.mark.parametrize("buckets, shares", [(48, 48), (5000, 3000)])
+def test_repeated_bytes_at_any_number_of_buckets(spark, tmp_path, monkeypatch, buckets, shares):
+    import random
+
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdef ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("ghijkl ") for _ in range(200)) + (passage[rng.randrange(100) :] if i % 3 else "") + f"{i}") for i in range(60)] + [(60, passage), (61, passage), (62, ""), (63, None)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    counts = iter([buckets, shares])
+    monkeypatch.setattr(suffix_dedup, "parts", lambda *a, **k: next(counts))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_bytes(spark.read.parquet(path)).collect()}
+    seen: set[bytes] = set()
+    for i, text in rows:
+        data = (text or "").encode()
+        own = [data[k : k + 50] for k in range(len(data) - 49)]
+        covered = {b for k, s in enumerate(own) if s in seen for b in range(k, k + 50)}
+        assert got[i] == len(covered)
+        seen.update(own)

@@ -147,6 +147,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(ids, texts, i)
 
 
+def _present(target: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(target, start, end) of the runs of sorted targets: work by what occurs, however many targets there are."""
+    edges = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
+    yield from zip(target[edges].tolist(), edges.tolist(), np.r_[edges[1:], len(target)].tolist(), strict=True)
+
+
 def _first_pass(buckets: int):
     names = ["bucket", "block", "print", "a", "b"]
 
@@ -154,18 +160,15 @@ def _first_pass(buckets: int):
         for block in _blocks(batches):
             key, shared, _, _, _ = _names(block, buckets)
             bucket = (key >> np.uint64(32)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
-            for i in np.flatnonzero(np.diff(edges)).tolist():
-                a, b = edges[i], edges[i + 1]
+            for i, a, b in _present(bucket):
                 out.append((i, block.number, block.print, _planes((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(shared[a:b]).tobytes()))
             h, later = block.copies()
             to = (h >> np.uint64(40)).astype(np.int64) % buckets
             ask = np.flatnonzero(~later & (block.ids != NULL_ID))
             ask = ask[np.argsort(to[ask], kind="stable")]
-            edges = np.searchsorted(to[ask], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(edges)).tolist():
-                own = ask[edges[i] : edges[i + 1]]
+            for i, a, b in _present(to[ask]):
+                own = ask[a:b]
                 out.append((buckets + i, block.number, block.print, h[own].tobytes() + block.ids[own].tobytes(), own.astype(np.int32).tobytes()))
             yield _batch(names, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
 
@@ -241,12 +244,11 @@ def _second_pass(buckets: int, shares: int):
         right = right.sort_by([("bucket", "ascending")])
         bucket, bits = np.array(right.column("bucket").to_pylist(), np.int64), right.column("bits").to_pylist()
         key, shared, back, place, doc = _names(block, buckets)
-        counts = np.diff(np.searchsorted((key >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1)))
-        hit = np.zeros(len(key), bool)
-        ends = np.cumsum(counts)
+        hit, held = np.zeros(len(key), bool), {i: (a, b) for i, a, b in _present((key >> np.uint64(32)).astype(np.int64))}
         for i, x in zip(bucket.tolist(), bits, strict=True):
             if i < buckets:
-                hit[ends[i] - counts[i] : ends[i]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(counts[i]))
+                a, b = held[i]
+                hit[a:b] = np.unpackbits(np.frombuffer(x, np.uint8), count=b - a)
         _, copy = block.copies()
         for i, x in zip(bucket.tolist(), bits, strict=True):
             if i >= buckets:
@@ -307,10 +309,9 @@ def _second_pass(buckets: int, shares: int):
             ask = np.flatnonzero(~later)
             to = (least[ask] >> np.uint64(20)).astype(np.int64) % shares
             ask, to = ask[np.argsort(to, kind="stable")], np.sort(to, kind="stable")
-            edges = np.searchsorted(to, np.arange(shares + 1))
             pack = zstandard.ZstdCompressor(level=3)
-            for i in np.flatnonzero(np.diff(edges)).tolist():
-                own = ask[edges[i] : edges[i + 1]]
+            for i, a, b in _present(to):
+                own = ask[a:b]
                 own = own[np.argsort(start[own], kind="stable")]
                 gaps = np.diff(start[own], prepend=0).astype(np.uint32)
                 names_of, which = np.unique(ids[own], return_inverse=True)
