@@ -467,7 +467,7 @@ def task_interference(spark, sf_dir):
     return updates.interference(parts, "module", "task", 0.25).withColumn("interference", _r("interference"))
 
 
-from . import contracts, curves, spaces  # noqa: E402, F401  (they register their queries)
+from . import contracts, curves, spaces, streams  # noqa: E402, F401  (they register their queries)
 from . import models, reducers  # noqa: E402, F401, I001  (their SQL builds on that of the others)
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
