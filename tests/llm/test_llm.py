@@ -453,6 +453,28 @@ def test_classifiers_on_odd_tables(spark, tmp_path, module, label):
     assert module.score_documents(df.limit(0), marks).count() == 0
 
 
+def test_label_model_finds_accuracies_and_shared_weight(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    n, right = 6000, np.array([[0.5, 0.45, 0.05], [0.05, 0.25, 0.7]])
+    y = rng.random(n) < 0.3
+    # voters 0 to 4 vote by the class alone, voter 5 repeats voter 4
+    draws = (rng.random((n, 5, 1)) > np.cumsum(right, 1)[y.astype(int)][:, None, :2]).sum(2) - 1
+    votes = np.hstack([draws, draws[:, 4:]]).astype(np.int8)
+    voters = toxicity.Voters([])
+    voters.voters = 6
+    each = table(spark, tmp_path, [(bytearray(v.tobytes()), 1) for v in votes], "votes binary, n long")
+    start = toxicity.LabelModel(np.tile(np.array([[0.3, 0.6, 0.1], [0.1, 0.5, 0.4]])[:, :, None], 6), 0.2, np.ones(6))
+    one, many = (toxicity.fit_label_model(p, voters, start, 30) for p in (toxicity.counted_patterns(each), each))
+    assert toxicity.counted_patterns(each).count() == len(np.unique(votes, axis=0)) < n
+    for a, b in ((one.chance, many.chance), (one.share, many.share), (one.prior, many.prior)):
+        assert np.allclose(a, b, atol=1e-9)
+    assert np.abs(one.chance[:, :, :4] - right[:, :, None]).max() < 0.08 and abs(one.prior - 0.3) < 0.06
+    assert one.share[:4].min() > 0.75 and np.abs(one.share[4:] - 0.5).max() < 0.1
+    guess = one.posterior(votes) > 0.5
+    assert (guess == y).mean() > 0.85
+    assert toxicity.fit_label_model(each.limit(0), voters, start) is start
+
+
 # 7: SimHash
 
 

@@ -2,10 +2,10 @@
 
 Voters look at a whole text and vote toxic (1), not toxic (-1) or abstain (0).
 The label model takes the class as hidden: expectation-maximisation over the
-distinct vote patterns estimates each voter's accuracy, and pairs that agree
-beyond what the class explains share their weight. Its posteriors are the
-labels from which a logistic classifier over voter counts and text statistics
-is trained.
+distinct vote patterns, counted once by Spark, estimates how often each voter
+gives each vote in each class, and pairs that agree within the classes beyond
+chance share their weight. Its posteriors are the labels from which a logistic
+classifier over voter counts and text statistics is trained.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ THRESHOLD = 0.7
 LEARNT, LEAST, BINS = 192, 4, 256
 #: Labelled documents whose words are counted for the lexicon: the first by hash, whatever the input.
 SAMPLE = 50_000
+#: Standard errors from which two voters' agreement within a class counts.
+BEYOND = 5
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 LEXICON = {
@@ -112,72 +114,116 @@ class Voters:
         return [float(np.log1p(c)) for c in counts] + [float(np.log1p(len(kinds))), float(np.log1p(hits)), min(1.0, 20 * hits / n), float(np.log1p(n)) / 8]
 
     def votes(self, x: np.ndarray) -> np.ndarray:
-        """1 toxic, 0 abstain: a voter without evidence says nothing, except the last two, which always vote."""
+        """1 toxic, 0 abstain, -1 not toxic: a voter of evidence abstains without it, the last two also vote -1.
+
+        They say not toxic where no listed word stands, and abstain on a single kind of it or a thin spread.
+        """
         fires = (x[:, : self.evidence] > 0).astype(np.int8)
-        kinds = np.where(x[:, self.evidence] > np.log1p(1.5), 1, -1)[:, None]
-        dense = np.where(x[:, self.evidence + 2] > 0.1, 1, -1)[:, None]
-        return np.hstack([fires, kinds, dense]).astype(np.int8)
+        kinds, dense = x[:, self.evidence], x[:, self.evidence + 2]
+        wide = np.where(kinds > np.log1p(1.5), 1, np.where(kinds > 0, 0, -1))[:, None]
+        thick = np.where(dense > 0.1, 1, np.where(dense > 0, 0, -1))[:, None]
+        return np.hstack([fires, wide, thick]).astype(np.int8)
+
+    def unpacked(self, patterns: pa.Array) -> np.ndarray:
+        """Vote patterns as rows, from binary values of a byte a voter."""
+        return np.frombuffer(b"".join(patterns.to_pylist()), np.int8).reshape(len(patterns), self.voters)
 
 
 class LabelModel:
-    """P(vote | class) for each voter, their pairwise excess agreement, and the class balance."""
+    """P(vote | class) for each voter and vote (not toxic, abstain, toxic), each voter's share of its weight, the class balance.
+
+    chance[c, o, i] is how often voter i gives vote o - 1 in class c.
+    """
 
-    def __init__(self, fire: np.ndarray, prior: float, share: np.ndarray):
-        self.fire, self.prior, self.share = fire, prior, share
+    def __init__(self, chance: np.ndarray, prior: float, share: np.ndarray):
+        self.chance, self.prior, self.share = chance, prior, share
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = votes > 0
-        gain = np.where(on, np.log(self.fire[1] / self.fire[0]), np.log((1 - self.fire[1]) / (1 - self.fire[0])))
-        odds = np.log(self.prior / (1 - self.prior)) + gain @ self.share
+        gain = np.log(self.chance[1] / self.chance[0])
+        says = np.where(votes > 0, gain[2], np.where(votes < 0, gain[0], gain[1]))
+        odds = np.log(self.prior / (1 - self.prior)) + says @ self.share
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_label_model(rows: DataFrame, voters: Voters, start: LabelModel, rounds: int = 4) -> LabelModel:
-    """Expectation-maximisation: each round is one pass that sums expected votes and pair agreements."""
+def counted_patterns(seen: DataFrame) -> DataFrame:
+    """(votes, n): each distinct vote pattern and its rows. The pattern without evidence, most of all rows, is one row."""
+    return seen.groupBy("votes").agg(F.count("*").alias("n"))
+
+
+def _beyond_chance(joint: np.ndarray, rate: np.ndarray, n: float) -> np.ndarray:
+    """Correlations of toxic votes in one class, from sums over its n (expected) rows; 0 within BEYOND standard errors.
+
+    Without that limit the noise of some two hundred pairs would add up to agreement for every voter.
+    """
+    n = max(1.0, n)
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+    out = ((joint / n - np.outer(rate, rate)) / np.outer(spread, spread)).clip(0, 1)
+    return np.where(out > BEYOND / np.sqrt(n), out, 0)
+
+
+def fit_label_model(patterns: DataFrame, voters: Voters, start: LabelModel, rounds: int = 4) -> LabelModel:
+    """Expectation-maximisation over (votes, n): each round is one pass that sums expected votes and pair agreements in both classes.
+
+    `start` counts as a prior of a twentieth of the rows, so that the hidden class keeps its meaning.
+    """
     v = voters.voters
     model = start
     for _ in range(rounds):
 
         def expect(batch: pa.RecordBatch, model: LabelModel = model) -> np.ndarray:
-            votes = voters.votes(matrix(batch.column(0)))
-            on = (votes > 0).astype(float)
-            p = model.posterior(votes)
-            return np.concatenate([[len(p), p.sum()], on.T @ p, on.T @ (1 - p), (on.T @ (on * (1 - p)[:, None])).ravel()])
-
-        s = summed(rows, expect, 2 + 2 * v + v * v)
+            votes = voters.unpacked(batch.column(0))
+            n = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            on, off = (votes > 0).astype(float), (votes < 0).astype(float)
+            toxic = model.posterior(votes) * n
+            sums = [[n.sum()]]
+            for w in (n - toxic, toxic):
+                sums += [[w.sum()], off.T @ w, on.T @ w, (on.T @ (on * w[:, None])).ravel()]
+            return np.concatenate(sums)
+
+        own = 1 + 2 * v + v * v
+        s = summed(patterns, expect, 1 + 2 * own)
         if not s[0]:
             return start
-        n, toxic = s[0], s[1]
-        # anchored by the start as a prior worth some rows, so that the hidden class keeps its meaning
-        weight = 0.05 * n
-        fire = np.vstack(
-            [
-                (s[2 + v : 2 + 2 * v] + weight * start.fire[0]) / (n - toxic + weight),
-                (s[2 : 2 + v] + weight * start.prior * start.fire[1]) / (toxic + weight * start.prior),
-            ]
-        ).clip(1e-5, 1 - 1e-5)
-        joint = s[2 + 2 * v :].reshape(v, v) / max(1.0, n - toxic)
-        spread = np.sqrt(fire[0] * (1 - fire[0]))
-        agree = (joint - np.outer(fire[0], fire[0])) / np.outer(spread, spread)
+        weight = 0.05 * s[0]
+        chance, agree = np.empty((2, 3, v)), np.zeros((v, v))
+        for c, part in enumerate((s[1 : 1 + own], s[1 + own :])):
+            n, off, on, joint = part[0], part[1 : 1 + v], part[1 + v : 1 + 2 * v], part[1 + 2 * v :].reshape(v, v)
+            anchor = weight * (start.prior if c else 1)
+            no, yes = ((x + anchor * start.chance[c, o]) / (n + anchor) for o, x in ((0, off), (2, on)))
+            chance[c] = no, 1 - no - yes, yes
+            # each class counts by its share of a voter pair's joint votes: what agrees in the rare class is not drowned
+            agree += _beyond_chance(joint, on / max(1.0, n), n) * joint
+            if c == 0:
+                of_both = joint.copy()
+            else:
+                of_both += joint
+        agree /= np.maximum(of_both, 1e-9)
         np.fill_diagonal(agree, 0)
+        prior = float(np.clip((s[1 + own] + weight * start.prior) / (s[0] + weight), 1e-4, 0.5))
         # voters that err together count as one between them
-        model = LabelModel(fire, float(np.clip((toxic + weight * start.prior) / (n + weight), 1e-4, 0.5)), 1 / (1 + np.clip(agree, 0, 1).sum(1)))
+        model = LabelModel(chance.clip(1e-5, 1 - 1e-5), prior, 1 / (1 + agree.sum(1)))
     return model
 
 
 def start_model(marked: DataFrame, voters: Voters) -> LabelModel:
-    """First guesses of the accuracies from labelled rows (x, y); without them, that evidence is rare and mostly right."""
+    """First guesses of the accuracies from labelled rows (votes, y); without them, that evidence is rare and mostly right."""
     v = voters.voters
 
     def counts(batch: pa.RecordBatch) -> np.ndarray:
-        on = (voters.votes(matrix(batch.column(0))) > 0).astype(float)
+        votes = voters.unpacked(batch.column(0))
+        on, off = (votes > 0).astype(float), (votes < 0).astype(float)
         y = batch.column(1).to_numpy(zero_copy_only=False)
-        return np.concatenate([[len(y), y.sum()], on.T @ y, on.T @ (1 - y)])
+        return np.concatenate([[len(y), y.sum()], off.T @ (1 - y), on.T @ (1 - y), off.T @ y, on.T @ y])
 
-    s = summed(marked, counts, 2 + 2 * v)
-    n, toxic = s[0], s[1]
-    fire = np.vstack([(s[2 + v :] + 0.01) / (n - toxic + 1), (s[2 : 2 + v] + 0.1) / (toxic + 1)]).clip(1e-5, 1 - 1e-5)
-    return LabelModel(fire, float(np.clip((toxic + 0.5) / (n + 10), 1e-3, 0.5)), np.ones(v))
+    s = summed(marked, counts, 2 + 4 * v)
+    n, toxic, parts = s[0], s[1], s[2:].reshape(2, 2, v)
+    speaks = np.zeros(v)
+    speaks[voters.evidence :] = 1  # the voters that can say not toxic
+    chance = np.empty((2, 3, v))
+    for c, (rows, no, yes) in enumerate(((n - toxic, 0.5, 0.01), (toxic, 0.1, 0.1))):
+        low, high = (parts[c, 0] + no * speaks) / (rows + 1), (parts[c, 1] + yes) / (rows + 1)
+        chance[c] = low, 1 - low - high, high
+    return LabelModel(chance.clip(1e-5, 1 - 1e-5), float(np.clip((toxic + 0.5) / (n + 10), 1e-3, 0.5)), np.ones(v))
 
 
 def fit_linear(rows: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 6, ridge: float = 1e-3) -> np.ndarray:
@@ -222,12 +268,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [voters.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            x = np.array([voters.features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, voters.size)
+            packed = [row.tobytes() for row in voters.votes(x)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(packed, pa.binary())], names=["doc_id", "x", "votes"])
 
-    seen = cut(rows.mapInArrow(given_back(evidence), "doc_id long, x array<double>"))
-    marked = cut(seen.join(known, "doc_id").select("x", F.col("y").cast("double").alias("y")))
-    model = fit_label_model(seen.select("x"), voters, start_model(marked, voters))
+    seen = cut(rows.mapInArrow(given_back(evidence), "doc_id long, x array<double>, votes binary"))
+    marked = cut(seen.join(known, "doc_id").select("x", F.col("y").cast("double").alias("y"), "votes"))
+    model = fit_label_model(cut(counted_patterns(seen)), voters, start_model(marked.select("votes", "y"), voters))
     weights = fit_linear(seen.select("x"), voters, model)
     edge = lambda x: 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
@@ -246,7 +293,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held: int = 1, id_col: s
             out = np.clip(0.999 * np.interp(raw, centres, levels) + 0.001 * raw, 0, 1) if len(used) else raw
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    scored = seen.mapInArrow(given_back(score), "doc_id long, score double")
+    scored = seen.select("doc_id", "x").mapInArrow(given_back(score), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(rest(F.col("doc_id")) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
