@@ -49,6 +49,17 @@ def test_recordings_are_checked(spark, tmp_path, lines, why):
             read.collect()
 
 
+def test_recordings_of_many_files_are_checked_each(spark, tmp_path):
+    # small files share a task: the next one starts below where the one before it ended
+    for i in range(12):
+        (tmp_path / f"{i}.csv").write_text("t;value;flag\n" + "\n".join(f"{t};{i};0" for t in range(3)))
+    part = lambda: tables.recording(spark, f"file://{tmp_path}", "t long, value double, flag int", "t", ("flag",), ";").coalesce(1)
+    assert sorted((r["value"], r["t"]) for r in part().collect()) == [(i, t) for i in range(12) for t in range(3)]
+    (tmp_path / "12.csv").write_text("t;value;flag\n1;12;0\n1;12;0")
+    with pytest.raises(Exception, match="does not grow"):
+        part().collect()
+
+
 def test_delimiters_are_sniffed(spark, tmp_path):
     for name, text, want in (("a", "x,y|z\n1,2|3\n", None), ("b", "a;b;c,d\n1;2;3,4\n", ";"), ("c", "a\tb\n1\t2\n", "\t")):
         (tmp_path / name).write_text(text)
