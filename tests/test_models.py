@@ -34,6 +34,17 @@ def test_range_finder_of_long_vectors(spark):
     assert np.allclose(np.abs(np.sum(axes * vt[:rank].T, axis=0)), 1, atol=1e-6) and abs(total - (scaled**2).sum()) < 1e-6 * total
 
 
+def test_short_vectors_of_a_flat_spectrum(spark, tmp_path):
+    from windrow.plans import reducers
+
+    x = np.random.default_rng(8).standard_normal((3000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    off = x.astype(float) - x.astype(float).mean(0)
+    energy = ((off @ np.linalg.eigh(off.T @ off)[1][:, -3:]) ** 2).sum(1)
+    got = {r["vec_id"]: r["energy"] for r in reducers.sketched_energy(spark, str(tmp_path)).collect()}
+    assert max(abs(got[i] - e) for i, e in enumerate(energy)) < 6e-7
+
+
 def test_infeasible_ranks_are_errors(spark):
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((9, 6)), np.repeat([0, 1, 2], 3)

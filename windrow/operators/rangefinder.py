@@ -44,7 +44,8 @@ def range_finder(rows: DataFrame, vector: str, rank: int, weight: str | Column |
     """(mean, axes in columns, singular values, total energy) of the centred rows, each scaled by the root of its weight.
 
     The singular values belong to the first `rank` axes; total energy is the sum of all squared ones. Power
-    iterations go on until the `rank` Ritz values settle within `tolerance`, at most `power` times. Of each axis the
+    iterations go on until the `rank` Ritz values settle within `tolerance`, at most `power` times; a sketch as wide as
+    the vectors holds all of their space and needs none. Of each axis the
     component of largest size is positive. Rows with a null or non-finite component or a weight that is null or not positive take no part.
     A rank beyond min(dimensions, rows - 1) is an error, and so are vectors of unlike length and a sketch of more than MOST_CELLS.
     """
@@ -68,7 +69,7 @@ def range_finder(rows: DataFrame, vector: str, rank: int, weight: str | Column |
         return x.T @ seen - np.outer(mean, seen.sum(0))
 
     before = np.zeros(rank)
-    for _ in range(power):
+    for _ in range(power if width < dim else 0):
         product = summed(good, back_and_forth, dim * width).reshape(dim, width)
         ritz = np.sort(np.linalg.eigvalsh(basis.T @ product))[::-1][:rank]
         basis, _ = np.linalg.qr(product)
