@@ -136,6 +136,27 @@ def test_principal_directions_within_a_context(spark):
     assert abs(sum(r["coefficient"] ** 2 for r in got) - 2 * (s**2).sum()) < 1e-9
 
 
+def test_candidates_of_any_number_against_a_context(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for m, n in ((1, 5), (2, 40)):  # group 2 spans all 12 dimensions: its cosines are 1 and the first direction has the update's image
+        u, v, s = rng.standard_normal((3, n)), rng.standard_normal((4, n)), rng.uniform(1, 3, n)
+        cu, cv = rng.standard_normal((3, 2)), rng.standard_normal((4, 2))
+        rows += [(m, c, float(w), a.tolist(), b.tolist()) for c, (x, y, z) in ((False, (u, v, s)), (True, (cu, cv, np.ones(2)))) for a, b, w in zip(x.T, y.T, z, strict=True)]
+        q = np.linalg.qr(np.einsum("ik,jk->ijk", cu, cv).reshape(12, 2))[0]
+        update = ((u * s) @ v.T).ravel()
+        want[m] = ((q.T @ update) ** 2).sum() / (update**2).sum(), (update**2).sum()
+    df = spark.createDataFrame(rows, "m long, context boolean, sigma double, u array<double>, v array<double>").repartition(3)
+    one = {(r["m"], r["k"]): (r["cosine"], abs(r["coefficient"])) for r in subspaces.principal_directions(df, "m").collect()}
+    summed = {(r["m"], r["k"]): (r["cosine"], abs(r["coefficient"])) for r in subspaces.principal_directions(df, "m", most=1).collect()}
+    assert one.keys() == summed.keys() and len(one) == 4 and all(np.allclose(one[k], summed[k], atol=1e-7) for k in one)
+    assert np.isclose(one[2, 1][1] ** 2 / want[2][1], want[2][0]) and one[2, 2][1] == 0 and np.allclose([one[2, 1][0], one[2, 2][0]], 1)
+    monkeypatch.setattr(subspaces, "MOST_PARTS", 3)  # a context's limit is none of its candidates'
+    kept = {r["m"]: r["kept"] for r in subspaces.kept_energy(df, "m").collect()}
+    assert all(np.isclose(kept[m], want[m][0]) for m in want)
+    assert len(subspaces.principal_directions(df, "m", most=1).collect()) == 4
+
+
 def test_overlap_of_known_spans():
     e = np.eye(6)
     axes = np.stack([e[0], (e[0] + e[1]) / np.sqrt(2), e[5], e[2]], axis=1)
