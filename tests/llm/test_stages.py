@@ -1,5 +1,6 @@
 """The pipeline's stages, and operators on documents, where columns clash, values are null and rows repeat."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,32 @@ def test_repeated_bytes_at_any_number_of_buckets(spark, tmp_path, monkeypatch, b
         covered = {b for k, s in enumerate(own) if s in seen for b in range(k, k + 50)}
         assert got[i] == len(covered)
         seen.update(own)
+
+
+def _joined(n, p, q):
+    label = list(range(n))
+    for a, b in zip(p.tolist(), q.tolist(), strict=True):
+        x, y = label[a], label[b]
+        label = [min(x, y) if c in (x, y) else c for c in label]
+    return label
+
+
+def test_windows_of_few_distinct_shingles_are_linked():
+    marks = np.random.default_rng(0).integers(1, 256, (12, passages.SPAN)).astype(np.uint8)
+    marks[10] = marks[11] = np.resize(np.arange(1, 7), passages.SPAN)  # a phrase again and again
+    label = _joined(12, *passages._pairs(marks, np.arange(12))[:2])
+    assert label[10] == label[11]
+
+
+def test_windows_stay_linked_when_the_largest_component_gets_another_name():
+    rng = np.random.default_rng(1)
+    n, half = 700, passages.REACH
+    marks = rng.integers(1, 256, (n, passages.SPAN)).astype(np.uint8)
+    marks[8:400] = marks[7]  # the largest component, centre 7
+    marks[8, :half] = rng.integers(1, 256, half)
+    marks[9, :half] = rng.integers(1, 256, half)
+    marks[:, half] = 77
+    marks[410, :half], marks[410, half:] = marks[9, :half], marks[3, half:]  # like 3 and, on the other side, like 9: now 3 names all
+    marks[n - 1, :half] = marks[8, :half]
+    label = _joined(n, *passages._pairs(marks, np.arange(n))[:2])
+    assert label[410] == label[3] == label[9] == label[7] and label[n - 1] == label[8]
