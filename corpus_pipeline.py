@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """The document of smallest id of each group of near copies: five-word shingles, proposed by SimHash and what it misses by min-hashes, Jaccard 0.8 or more."""
     groups = minhash.near_copies(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     left = docs.join(first, "doc_id", "left_semi")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windrow.llm import decontaminate, passages, suffix_dedup
+from windrow.llm import decontaminate, minhash, passages, suffix_dedup
 
 COMMON = " ".join(f"shared{i}" for i in range(60))
 TEXTS = [
@@ -136,3 +136,19 @@ def test_windows_stay_linked_when_the_largest_component_gets_another_name():
     marks[n - 1, :half] = marks[8, :half]
     label = _joined(n, *passages._pairs(marks, np.arange(n))[:2])
     assert label[410] == label[3] == label[9] == label[7] and label[n - 1] == label[8]
+
+
+def test_simhash_proposes_near_copies_without_bands(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(30):
+        text = rng.choice(words, 1500).tolist()
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(text[:-1] + ["other"]))]
+    rows += [(1000 + i, " ".join(rng.choice(words, 1500).tolist())) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(minhash, "PIVOTS", 0)
+    monkeypatch.setattr(minhash, "_last_links", lambda *_: spark.createDataFrame([], "u long, v long"))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(df).collect()}
+    assert all(got[i] == i for i in range(0, 300, 10)) and all(got[1000 + i] == 1000 + i for i in range(30))
+    assert sum(got[10 * i + 1] == 10 * i for i in range(30)) >= 25

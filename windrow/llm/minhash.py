@@ -1,6 +1,10 @@
-"""Near copies by shingle Jaccard: banded min-hashes propose, the shingle sets decide.
+"""Near copies by shingle Jaccard: SimHash fingerprints and banded min-hashes propose, the shingle sets decide.
 
-Equal texts fold to one node first. A node's 80 min-hashes make 20 keys of four;
+Equal texts fold to one node first. SimHash comes first: each node's fingerprint of 64
+majority bits meets one within NEAR bits by the vantage-point shards of `simhash`, and
+the pairs whose sets confirm it make the first components. Pairs of 0.8 differ in some ten
+bits, which no radius that prunes would reach, so min-hashes propose what is left: a
+node's 80 min-hashes make 20 keys of four;
 a pair of Jaccard s shares no key with probability (1 - s^4)^20, 3e-5 at 0.8 and
 less above. In a few rounds each node meets the pivot of one of its keys, whose
 confirmed links join most of a large group. Members of a key that are still in
@@ -20,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .passages import _block_shingles, _document_shingles
 from .textkit import LOWER, column_bytes, cut, given_back, mix, parts, slim
 
 SIMILARITY = 0.8
+#: Bits by which the fingerprints of a pair that SimHash proposes differ at most.
+NEAR = 3
 BANDS, DEPTH = 20, 4
 #: Min-hashes of a signature, 16 of which share a long, and how many of them a similar pair has in common at least.
 MARKS, COMMON = 160, 110
@@ -42,11 +49,11 @@ def _node(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()))
 
 
-def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index, keys and signature): BANDS keys and MARKS / 16 longs of each text of five words or more; shorter texts have only equal copies."""
+def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, keys and signature, fingerprint): BANDS keys and MARKS / 16 longs, and the SimHash, of each text of five words or more; shorter texts have only equal copies."""
     every, doc, _ = _block_shingles(texts)
     if not len(every):
-        return np.zeros(0, np.int64), np.zeros((0, BANDS + MARKS // 16), np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, BANDS + MARKS // 16), np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     out = np.zeros((BANDS + MARKS // 16, len(first)), np.uint64)
     for i in range(MARKS):
@@ -54,7 +61,7 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if i < BANDS * DEPTH:
             out[i // DEPTH] = mix(out[i // DEPTH] + least + _SEEDS[i])
         out[BANDS + i // 16] |= (mix(least) >> np.uint64(60)) << np.uint64(4 * (i % 16))
-    return doc[first], np.ascontiguousarray(out.T).view(np.int64)
+    return doc[first], np.ascontiguousarray(out.T).view(np.int64), simhash.majority(mix(every), first).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +76,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = texts[at:end]
             keys: list = [None] * len(own)
             marks: list = [None] * len(own)
-            for i, k in zip(*signatures(own), strict=True):
-                keys[i], marks[i] = k[:BANDS].tolist(), k[BANDS:].tolist()
+            prints: list = [None] * len(own)
+            for i, k, fp in zip(*signatures(own), strict=True):
+                keys[i], marks[i], prints[i] = k[:BANDS].tolist(), k[BANDS:].tolist(), int(fp)
             nodes = np.array([_node(t) for t in own], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "node", "keys", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["doc_id", "node", "keys", "marks", "fp"])
             at = end
 
 
@@ -159,23 +167,35 @@ def _last_links(labelled: DataFrame, traits: DataFrame, sets: DataFrame, similar
     return full.groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(buckets)).alias("_bucket")).applyInArrow(given_back(_settled(similarity)), "u long, v long")
 
 
+def _proposed(heads: DataFrame) -> DataFrame:
+    """(u, uid, v, vid): pairs of nodes (node, id, fp) of one fingerprint, each with the least, and of these for each fingerprint one within NEAR bits."""
+    firsts = cut(heads.groupBy("fp").agg(F.min(F.struct("node", "id")).alias("f")).select("fp", "f.node", "f.id"))
+    same = heads.join(firsts.select("fp", F.col("node").alias("v"), F.col("id").alias("vid")), "fp").where("node <> v").select(F.col("node").alias("u"), F.col("id").alias("uid"), "v", "vid")
+    near = simhash.links(firsts.select("fp", F.col("node").alias("id")), NEAR, direct=True).distinct()
+    name = lambda n, i: firsts.select(F.col("node").alias(n), F.col("id").alias(i))
+    return same.union(near.join(name("u", "uid"), "u").join(name("v", "vid"), "v").select("u", "uid", "v", "vid"))
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each row of docs with an id.
 
     Documents are linked if the Jaccard similarity of their sets of five-word
     shingles is `similarity` or more (words are parted by ASCII white space and
     compared with A-Z lowered), or if their words are equal; component_id is
-    the smallest doc_id reachable. Null text is empty, and texts without words
+    the smallest doc_id reachable. A link is found where the texts' SimHash
+    fingerprints are near or a key of min-hashes is equal. Null text is empty, and texts without words
     link to each other. Repeated rows appear as often as they come; an empty table gives an empty one.
     """
     rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = cut(rows.mapInArrow(given_back(_signed), "doc_id long, node long, keys array<long>, marks array<long>"))
-    heads = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    signed = cut(rows.mapInArrow(given_back(_signed), "doc_id long, node long, keys array<long>, marks array<long>, fp long"))
+    heads = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("fp").alias("fp"))
     traits = heads.where("keys is not null").select("node", "keys", "marks")
     members = heads.where("keys is not null").select("node", "id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     members = cut(members.join(shared, "key"))
-    asked = members.select("node", F.col("id").alias("doc_id")).distinct()
+    close = cut(_proposed(heads.where("keys is not null").select("node", "id", "fp")))
+    ends = close.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("uid").alias("id")), F.struct(F.col("v").alias("node"), F.col("vid").alias("id")))).alias("e")).select("e.node", "e.id")
+    asked = members.select("node", "id").union(ends).withColumnRenamed("id", "doc_id").distinct()
     # an id can have rows of several texts: the set's own node decides
     sets = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(given_back(_sets), "node long, n long, shingles binary")
     sets = cut(sets.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]))
@@ -187,7 +207,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
         return cut(pairs.join(x, "u").join(y, "v").select("u", "v", "c", "d", "x", "y").mapInArrow(given_back(_alike(similarity)), "u long, v long, c long, d long"))
 
     # known nodes of one component share c; a turn's links lead to components of lower rank, so they make a forest
-    known, labelled = None, members.withColumn("c", F.col("node"))
+    known = confirmed(close.select("u", "v", F.col("u").alias("c"), F.col("v").alias("d"))).select("u", "v")
+    labelled = cut(members.join(connected_components(known), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")))
     for turn in range(PIVOTS):
         # one pivot a key, and of a member's keys that have another component's pivot the one with most members
         rank = F.struct(F.xxhash64("c", F.lit(turn)), "c", "node")
@@ -197,7 +218,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
         met = met.where(F.least("n", "p.n") >= F.greatest("n", "p.n") * F.lit(similarity) - F.lit(1e-9))
         best = met.groupBy(F.col("node").alias("u")).agg(F.max_by(F.struct("c", F.col("p.node").alias("v"), F.col("p.c").alias("d")), F.struct("_k", "key")).alias("m"))
         links = confirmed(cut(best.select("u", "m.v", "m.c", "m.d")))
-        known = links.select("u", "v") if known is None else known.union(links.select("u", "v"))
+        known = known.union(links.select("u", "v"))
         labelled = cut(_merged(labelled, links, turn))
     known = known.union(cut(_last_links(labelled, traits, sets, similarity)))
     groups = connected_components(known).withColumnRenamed("component", "c")

@@ -52,6 +52,14 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(_BITS[counts * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Majority bits of runs of 64-bit hashes, which begin at `first`."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    sizes = np.diff(np.r_[first, len(hashes)])
+    return ((counts * 2 > sizes[:, None]) * _BITS).sum(1, dtype=np.uint64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(t) for t in column_bytes(batch.column(1))], np.uint64).view(np.int64)
@@ -135,8 +143,8 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def shard_forest(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, root of i) that span the pairs within `radius` bits of which one end is at home here."""
+def shard_forest(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = 512, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, root of i) that span the pairs within `radius` bits of which one end is at home here; direct: (i, the least j within `radius` bits of i)."""
     labels = np.arange(len(points))
     block = 1 << 20
 
@@ -159,15 +167,22 @@ def shard_forest(points: np.ndarray, home: np.ndarray, radius: int, leaf: int =
         for i in range(0, len(queries), step):
             q = queries[i : i + step]
             x, y = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[own][None, :]) <= radius)
-            _settle(labels, q[x], own[y])
+            if direct:
+                np.minimum.at(labels, q[x], own[y])
+                np.minimum.at(labels, own[y], q[x])
+            else:
+                _settle(labels, q[x], own[y])
 
     walk(np.arange(len(points)), np.flatnonzero(home))
     linked = np.flatnonzero(labels != np.arange(len(points)))
     return linked, labels[linked]
 
 
-def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) between the ids of distinct fingerprints (columns fp, id) that span all links within `radius` bits."""
+def links(marks: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
+    """Edges (u, v) between the ids of distinct fingerprints (columns fp, id) that span all links within `radius` bits.
+
+    direct: every edge is itself within `radius` bits, and each fingerprint that has another so near is in one, but edges may not span all links.
+    """
     n = marks.count()
     shape = marks.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()  # SAMPLE rows at most
     leaves = max(SHARDS, 2 ** math.ceil(math.log2(max(1, n / HOME))))
@@ -181,7 +196,7 @@ def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def pair(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        child, root = shard_forest(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), radius)
+        child, root = shard_forest(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), radius, direct=direct)
         return pa.table({"u": pa.array(ids[child]), "v": pa.array(ids[root])})
 
     return marks.select("fp", "id").mapInArrow(given_back(deal), "shard int, fp long, id long, home boolean").groupBy("shard").applyInArrow(given_back(pair), "u long, v long")
