@@ -412,3 +412,10 @@ def test_adapter_moves_a_cloud_onto_another(spark):
     assert ((held(x) - x) ** 2).mean() < 0.2 * ((net(x) - x) ** 2).mean()  # anchors stay where they are
     with pytest.raises(ValueError, match="empty"):
         adapter.fit_adapter(df(x), df(x).limit(0), "x")
+
+
+def test_temporal_null_deals_its_draws_once(spark):
+    from windrow.plans import models
+
+    plan = models.temporal_null(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(draw") == 1
