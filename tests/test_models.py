@@ -415,7 +415,7 @@ def test_adapter_moves_a_cloud_onto_another(spark):
 
 
 def test_temporal_null_deals_its_draws_once(spark):
-    from windrow.plans import models
+    from windrow.plans import catalog
 
-    plan = models.temporal_null(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES["temporal_null"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning(draw") == 1
