@@ -84,6 +84,29 @@ def test_neighbours_match_brute_force_and_skip_most_pairs(spark):
     assert relate.nearest_neighbours(df.limit(0), df, "key", "x", 4).count() == 0
 
 
+def test_neighbours_shuffle_in_proportion_where_bounds_prune_nothing(spark):
+    """Random vectors, a quarter of them asked for: every page is compared, by several blocks and groups; whole numbers have many ties."""
+    shuffled, rng = [], np.random.default_rng(3)
+    # tables too large to broadcast
+    conf, threshold = spark.conf, "spark.sql.autoBroadcastJoinThreshold"
+    old = conf.get(threshold)
+    conf.set(threshold, "-1")
+    try:
+        for n, x in ((1500, rng.standard_normal((1500, 24))), (4500, rng.standard_normal((4500, 24))), (1500, rng.integers(0, 3, (1500, 24)).astype(float))):
+            df = windows(spark, x).select("key", "x").localCheckpoint()
+            written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+            before, counted = written(), spark.sparkContext.accumulator(0)
+            got = {tuple(r) for r in relate.nearest_neighbours(df, df.where("key % 4 = 0"), "key", "x", 5, page=32, counted=counted).select("query_id", "rank", "neighbour").collect()}
+            shuffled.append(written() - before)
+            d = ((x[::4, None] - x[None]) ** 2).sum(2)
+            d[np.arange(len(d)), np.arange(0, n, 4)] = np.inf
+            assert got == {(4 * q, r + 1, int(j)) for q, row in enumerate(d) for r, j in enumerate(np.lexsort((np.arange(n), row))[:5])}
+            assert counted.value > 0.5 * n * n / 4
+    finally:
+        conf.set(threshold, old)
+    assert shuffled[1] < 4 * shuffled[0], shuffled
+
+
 # ranks
 
 

@@ -5,9 +5,10 @@ coordinate more, sqrt(B^2 - |x|^2), and a query the coordinate 0; then
 |q - x|^2 = |q|^2 + B^2 - 2 q.x, so the nearest are those of highest product.
 `operators.metric` holds the tree: super nodes, nodes and pages with covering
 radii, stored parent distances and entries sorted by their distance to the
-page's centre. A query visits nodes in the order of their bounds, in rounds
-that grow fourfold; each round tightens the distance of its k-th best, and
-what the triangle inequality puts beyond that is never compared.
+page's centre. A query begins at the node of the lowest bound; then blocks of
+neighbouring queries visit groups of nodes in the order of their bounds, in
+rounds that grow eightfold. Each tightens the distance of a query's k-th best,
+and what the triangle inequality puts beyond that is never compared.
 """
 
 from __future__ import annotations
